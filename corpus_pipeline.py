@@ -1,4 +1,57 @@
-"""The corpus pipeline: quality, near duplicates, contamination, secrets, packing."""
-STAGES = []
+"""The corpus pipeline: quality classifier, near duplicates, benchmark decontamination, secret scans, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sketchgraph.llm.common import read, write_table
+from sketchgraph.llm.decontaminate import clean_documents
+from sketchgraph.llm.near_dups import near_duplicates
+from sketchgraph.llm.packing import packed_documents
+from sketchgraph.llm.quality_classifier import good_documents
+from sketchgraph.llm.secrets import redact_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more."""
+    return good_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id (null last)."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    numbered = write_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    first = near_duplicates(numbered, row=name).where("first").select(F.col("row").alias(name))
+    return numbered.join(first, name, "left_semi").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    return redact_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces with their places in sequences of at most 4096 tokens."""
+    return packed_documents(docs)
+
+
+STAGES = [("quality_classifier", quality), ("minhash_near_dups", near_dups), ("decontamination", decontaminated), ("secret_scan", secrets), ("best_fit_packing", packing)]
+#: The classifier, the hashes and the network have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = write_table(docs, name)
+    return docs

@@ -171,12 +171,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of any item."""
     for shared in _item_blocks(benchmark, block_bytes):
+        docs = docs.where(~_hit_column(shared, window))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def hit(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            machines, _ = _machines(shared.value, window)
-            for series in texts:
-                yield pd.Series([any(True for m in machines for _ in m.find(words)) for words in map(words_of, series)], dtype=bool)
 
-        docs = docs.where(~hit(text_bytes()))
-    return docs
+def _hit_column(shared, window: int):
+    @F.pandas_udf("boolean")
+    def hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machines, _ = _machines(shared.value, window)
+        for series in texts:
+            yield pd.Series([any(True for m in machines for _ in m.find(words)) for words in map(words_of, series)], dtype=bool)
+
+    return hit(text_bytes())

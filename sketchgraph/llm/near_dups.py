@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, groups_of, lower_words, map_rows, mix, rows_of, window_hashes, write_table
+from .common import WordHashes, groups_of, lower_words, map_rows, mix, rows_of, text_bytes, window_hashes, write_table
 from .vocab import with_row_ids
 
 WORDS, BANDS, ROWS = 5, 32, 5
@@ -147,16 +147,20 @@ def _longs(values) -> np.ndarray:
     return np.array(values, np.int64).view(np.uint64)
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, row: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, component, first) of every row of ``docs`` (doc_id long, text).
 
     Sets of five-word shingles are linked where den * |intersection| >= num * |union|; component_id is the least doc_id
     of the component (null only if all are), ``component`` a number of it, and ``first`` marks one row of each component:
     the one with the least doc_id (null last), then row. Null texts and texts without words are linked with nothing.
-    Copies, repeated rows included, form one class and are not compared. Other columns are ignored.
+    Copies, repeated rows included, form one class and are not compared. Other columns are ignored. ``row`` names a column
+    that numbers the rows of a table which reads alike each time; without it rows are numbered in a written copy.
     """
     bar = least_matches(num / den)
-    texts = write_table(with_row_ids(docs).withColumn("doc_id", F.col("doc_id").cast("long")).select("row", "doc_id", "text"), "documents")
+    if row:
+        texts = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), text_bytes().alias("text"))
+    else:
+        texts = write_table(with_row_ids(docs).withColumn("doc_id", F.col("doc_id").cast("long")).select("row", "doc_id", "text"), "documents")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     sets = write_table(map_rows(texts, lambda: _sets, schema, "row long, doc_id long, n long, key binary, sig array<long>, bands array<long>", 1024), "sets")
     classes = write_table(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id")), "classes")
