@@ -11,6 +11,16 @@ ROUND_CORNERS = 48
 ROUND = ("ellipse", "circle", "region", "unknown", "scribble")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, where a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def half_even(v: Column, digits: int) -> Column:
+    """Rounded to ``digits`` decimals, ties to even."""
+    return F.rint(v * 10.0**digits) / 10.0**digits
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -84,14 +94,14 @@ def outline(b: Column, kind: Column) -> Column:
     )
 
 
-def _edges(poly: Column) -> Column:
+def edges_of(poly: Column) -> Column:
     """Each corner with the next one, the last with the first."""
     return F.zip_with(poly, F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def polygon_area(poly: Column) -> Column:
     """Shoelace area; 0 with fewer than three corners."""
-    twice = F.aggregate(_edges(poly), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["a"]["y"] * e["b"]["x"])
+    twice = F.aggregate(edges_of(poly), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["a"]["y"] * e["b"]["x"])
     return F.when(F.size(poly) >= 3, F.abs(twice) / 2).otherwise(F.lit(0.0))
 
 
@@ -102,32 +112,40 @@ def segment_distance(ax: Column, ay: Column, bx: Column, by: Column, x: Column,
     return F.hypot(x - ax - t * dx, y - ay - t * dy)
 
 
-def outline_distance(poly: Column, x: Column, y: Column) -> Column:
-    """Distance of a point to the outline of a polygon."""
-    return F.array_min(F.transform(_edges(poly), lambda e: segment_distance(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], x, y)))
+def distance_to(edges: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest of a polygon's edges."""
+    return F.array_min(F.transform(edges, lambda e: segment_distance(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], x, y)))
 
 
-def strictly_inside(poly: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule, without regard to points on the outline."""
-    crosses = F.filter(_edges(poly), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))))
+def within(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule over a polygon's edges, without regard to points on them."""
+    crosses = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))))
     return F.size(crosses) % 2 == 1
 
 
+def within_or_on(edges: Column, x: Column, y: Column) -> Column:
+    return (distance_to(edges, x, y) == 0) | within(edges, x, y)
+
+
+def outline_distance(poly: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the outline of a polygon."""
+    return distance_to(edges_of(poly), x, y)
+
+
 def inside(poly: Column, x: Column, y: Column) -> Column:
     """Whether a point lies in a polygon; the outline counts as inside."""
-    return (outline_distance(poly, x, y) == 0) | strictly_inside(poly, x, y)
+    return let(edges_of(poly), lambda e: within_or_on(e, x, y))
 
 
 def signed_distance(poly: Column, x: Column, y: Column) -> Column:
     """Distance to the outline, negative outside."""
-    d = outline_distance(poly, x, y)
-    return F.when(strictly_inside(poly, x, y), d).otherwise(-d)
+    return let(edges_of(poly), lambda e: F.when(within(e, x, y), distance_to(e, x, y)).otherwise(-distance_to(e, x, y)))
 
 
 def fraction_inside(points: Column, poly: Column) -> Column:
     """Share of points in a polygon; 0 without points."""
     n = F.size(points)
-    return F.when(n > 0, F.size(F.filter(points, lambda p: inside(poly, p["x"], p["y"]))) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, let(edges_of(poly), lambda e: F.size(F.filter(points, lambda p: within_or_on(e, p["x"], p["y"])))) / n).otherwise(F.lit(0.0))
 
 
 def every_nth(points: Column, least: int = 40) -> Column:
@@ -148,18 +166,28 @@ def polyline_length(path: Column) -> Column:
 
 def resampled(path: Column, step) -> Column:
     """Points at even distances of about ``step`` along a polyline, its ends included; a path without length gives its first point."""
-    at = path_lengths(path)
-    total = F.element_at(at, -1)
-    n = F.greatest(F.lit(2), (total / F.greatest(F.lit(step).cast("double"), F.lit(1e-6))).cast("int") + 1)
-
-    def place(i):
-        t = i * total / (n - 1)
-        k = F.least(F.greatest(F.size(F.filter(at, lambda s: s <= t)), F.lit(1)), F.size(path) - 1)
-        a, b, s0, s1 = F.element_at(path, k), F.element_at(path, k + 1), F.element_at(at, k), F.element_at(at, k + 1)
-        f = F.when(s1 > s0, F.least(F.lit(1.0), (t - s0) / (s1 - s0))).otherwise(F.lit(0.0))
-        return point(a["x"] + f * (b["x"] - a["x"]), a["y"] + f * (b["y"] - a["y"]))
-
-    return F.when((F.size(path) < 2) | (total == 0), F.slice(path, 1, 1)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), place))
+    least = F.greatest((F.lit(step) if isinstance(step, float) else step).cast("double"), F.lit(1e-6))
+
+    def spread(v):
+        at, n, total = v["at"], v["n"], F.element_at(v["at"], -1)
+
+        def place(i):
+            def along(t):
+                k = F.least(F.greatest(F.size(F.filter(at, lambda s: s <= t)), F.lit(1)), F.size(path) - 1)
+
+                def between(j):
+                    a, b, s0, s1 = F.element_at(path, j), F.element_at(path, j + 1), F.element_at(at, j), F.element_at(at, j + 1)
+                    f = F.when(s1 > s0, F.least(F.lit(1.0), (t - s0) / (s1 - s0))).otherwise(F.lit(0.0))
+                    return point(a["x"] + f * (b["x"] - a["x"]), a["y"] + f * (b["y"] - a["y"]))
+
+                return let(k, between)
+
+            return let(i * total / (n - 1), along)
+
+        return F.when(total > 0, F.transform(F.sequence(F.lit(0), n - 1), place)).otherwise(F.slice(path, 1, 1))
+
+    counted = lambda at: F.struct(at.alias("at"), F.greatest(F.lit(2), (F.element_at(at, -1) / least).cast("int") + 1).alias("n"))
+    return F.when(F.size(path) < 2, path).otherwise(let(let(path_lengths(path), counted), spread))
 
 
 def to_original(x: Column, y: Column, rotation: Column, width: Column, height: Column, scale: Column, crop_x: Column, crop_y: Column) -> Column:

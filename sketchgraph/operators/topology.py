@@ -137,13 +137,19 @@ def crossings(scene: Scene, strokes: float = ATTACH_STROKES) -> DataFrame:
     paths = scene.connections.where(F.size("path") >= 2).join(scene.images.select("image_id", "stroke_width", attach_tolerance(strokes).alias("tol")), "image_id")
     paths = paths.select("image_id", F.col("id").alias("connection_id"), "tol", "endpoints", g.box_of_points(F.col("path")).alias("box"), g.resampled(F.col("path"), F.greatest(F.lit(2.0), F.col("stroke_width"))).alias("points"))
     pairs = paths.join(holder, "image_id").where(g.intersection(g.expand(F.col("s_bbox"), F.col("tol")), g.expand(F.col("box"), F.lit(1.0))) > 0)
-    signs = pairs.withColumn("signs", F.transform("points", lambda p: g.strictly_inside(F.col("s_polygon"), p["x"], p["y"]) & (g.outline_distance(F.col("s_polygon"), p["x"], p["y"]) > 0)))
+    start = F.struct(F.lit(None).cast("boolean").alias("sign"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(False).alias("found"))
 
-    def away(p):
-        return F.forall("endpoints", lambda e: F.hypot(e["point"]["x"] - p["x"], e["point"]["y"] - p["y"]) > CROSS_ENDS * F.col("tol"))
+    def away(x, y):
+        return F.forall("endpoints", lambda e: F.hypot(e["point"]["x"] - x, e["point"]["y"] - y) > CROSS_ENDS * F.col("tol"))
 
-    flips = F.exists(F.sequence(F.lit(1), F.size("points") - 1), lambda i: (F.get("signs", i) != F.get("signs", i - 1)) & away(F.get("points", i - 1)))
-    return signs.where(F.size("points") >= 2).where(flips).select("image_id", "connection_id", F.col("s_id").alias("shape_id"), F.col("s_ord").alias("shape_ord"))
+    def step(edges):
+        def see(s, p):
+            sign = F.when(g.box_contains(F.col("s_bbox"), p["x"], p["y"]), g.within(edges, p["x"], p["y"]) & (g.distance_to(edges, p["x"], p["y"]) > 0)).otherwise(F.lit(False))
+            return g.let(sign, lambda v: F.struct(v.alias("sign"), p["x"].alias("x"), p["y"].alias("y"), (s["found"] | (F.coalesce(s["sign"] != v, F.lit(False)) & away(s["x"], s["y"]))).alias("found")))
+
+        return F.aggregate("points", start, see, lambda s: s["found"])
+
+    return pairs.where(g.let(g.edges_of(F.col("s_polygon")), step)).select("image_id", "connection_id", F.col("s_id").alias("shape_id"), F.col("s_ord").alias("shape_ord"))
 
 
 def with_attachment(scene: Scene, strokes: float = ATTACH_STROKES) -> Scene:
@@ -214,18 +220,19 @@ def shape_pairs(scene: Scene, parents_: DataFrame | None = None) -> DataFrame:
     pairs = pairs.where(g.intersection(g.expand(F.col("a_bbox"), pad), g.expand(F.col("b_bbox"), pad)) > 0).join(both, ["image_id", "a_id", "b_id"], "left_anti")
     share = _shared_area(F.col("a_polygon"), F.col("b_polygon"), F.col("a_bbox"), F.col("b_bbox")) / F.least("a_area", "b_area")
     reach = TOUCH_STROKES * F.col("stroke_width") + TOUCH_MORE
-    corner = lambda p, q: F.array_min(F.transform(F.col(p), lambda c: g.outline_distance(F.col(q), c["x"], c["y"])))
+    corner = lambda p, q: g.let(g.edges_of(F.col(q)), lambda e: F.array_min(F.transform(F.col(p), lambda c: g.distance_to(e, c["x"], c["y"]))))
     touch = F.least(corner("a_polygon", "b_polygon"), corner("b_polygon", "a_polygon")) <= reach
     relation = F.when(share > OVERLAP_SHARE, "overlaps").when(touch, "touches")
     return pairs.withColumn("relation", relation).where("relation is not null").select("image_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_ord", "b_ord", "relation")
 
 
 def _shared_area(p: Column, q: Column, a: Column, b: Column) -> Column:
-    box = lambda poly, of: (F.size(poly) == 4) & (g.polygon_area(poly) == g.box_area(of))
+    box = lambda poly, of: (F.size(poly) == 4) & (F.abs(g.polygon_area(poly) - g.box_area(of)) <= 1e-9 * g.box_area(of))
     x0, y0 = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
     w, h = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x0, F.least(a["y"] + a["h"], b["y"] + b["h"]) - y0
     steps = F.sequence(F.lit(0), F.lit(32 * 32 - 1))
-    hits = F.size(F.filter(steps, lambda k: g.strictly_inside(p, x0 + (k % 32 + 0.5) * w / 32, y0 + (F.floor(k / 32) + 0.5) * h / 32) & g.strictly_inside(q, x0 + (k % 32 + 0.5) * w / 32, y0 + (F.floor(k / 32) + 0.5) * h / 32)))
+    at = lambda k: (x0 + (k % 32 + 0.5) * w / 32, y0 + (F.floor(k / 32) + 0.5) * h / 32)
+    hits = g.let(F.struct(g.edges_of(p).alias("p"), g.edges_of(q).alias("q")), lambda e: F.size(F.filter(steps, lambda k: g.within(e["p"], *at(k)) & g.within(e["q"], *at(k)))))
     return F.when((w <= 0) | (h <= 0), 0.0).when(box(p, a) & box(q, b), w * h).otherwise(hits * w * h / (32 * 32))
 
 
@@ -263,11 +270,17 @@ def crossed_out(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("crossed_out", old | F.coalesce((F.col("ink_density") > CROSSED_OUT_DENSITY) & (F.col("type") != "region"), F.lit(False)))
 
 
+def kept(scene: Scene) -> Scene:
+    """The scene with its tables cached (memory, then disk), since every later step reads them several times."""
+    return scene.with_(shapes=scene.shapes.persist(), texts=scene.texts.persist(), connections=scene.connections.persist())
+
+
 def updated(scene: Scene) -> Scene:
     """The whole topology of a scene, in the order in which its parts depend on one another."""
-    scene = scene.with_(shapes=with_containment(scene.shapes))
-    scene = with_labels(pruned(with_attachment(with_placement(scene))))
-    pairs = shape_pairs(scene, scene.shapes.select("image_id", "id", "parent_id").where("parent_id is not null"))
+    scene = kept(scene.with_(shapes=with_containment(scene.shapes)))
+    for step in (with_placement, with_attachment, pruned, with_labels):
+        scene = kept(step(scene))
+    pairs = shape_pairs(scene, scene.shapes.select("image_id", "id", "parent_id").where("parent_id is not null")).persist()
     return scene.with_(relations=relations(scene, pairs), shapes=crossed_out(scene.shapes))
 
 

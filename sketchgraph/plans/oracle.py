@@ -166,8 +166,8 @@ LEFT JOIN (SELECT image_id, count(*) AS n, count(*) FILTER (text <> '') AS r FRO
     "attached_ids": SCENE + _ATTACHED + """ SELECT image_id, connection_id AS id, concat_ws(',', a, CASE WHEN b IS DISTINCT FROM a THEN b END) AS ids FROM (SELECT image_id, connection_id, max(ref) FILTER (pos = 0) AS a, max(ref) FILTER (pos = 1) AS b FROM attached GROUP BY ALL)""",
     "connector_labels": SCENE + _ATTACHED + ", " + _points(3) + """ SELECT image_id, id, connection_id FROM (
   SELECT *, row_number() OVER (PARTITION BY image_id, id ORDER BY d, c_ord) AS r FROM (
-    SELECT t.image_id, t.id, p.id AS connection_id, p.ord AS c_ord, greatest(t.w, t.h) / 2 AS half, min(sqrt((px - t.x - t.w / 2) * (px - t.x - t.w / 2) + (py - t.y - t.h / 2) * (py - t.y - t.h / 2))) - greatest(t.w, t.h) / 2 AS d
-    FROM texts t JOIN points p ON t.image_id = p.image_id WHERE NOT EXISTS (SELECT 1 FROM attached a WHERE a.image_id = t.image_id AND a.text_id = t.id) GROUP BY ALL
+    SELECT t.image_id, t.id, p.id AS connection_id, p.ord AS c_ord, min(sqrt((px - t.x - t.w / 2) * (px - t.x - t.w / 2) + (py - t.y - t.h / 2) * (py - t.y - t.h / 2))) - greatest(t.w, t.h) / 2 AS d
+    FROM texts t JOIN points p ON t.image_id = p.image_id WHERE NOT EXISTS (SELECT 1 FROM attached a WHERE a.image_id = t.image_id AND a.text_id = t.id) GROUP BY t.image_id, t.id, p.id, p.ord, t.w, t.h
   ) WHERE d <= CAST(0.8 AS DOUBLE) * 16) WHERE r = 1""",
     "prune_connections": SCENE + _ATTACHED + ", " + _CROSSED + f""" SELECT c.image_id, c.id FROM connections c
 JOIN (SELECT image_id, connection_id, count(DISTINCT ref) AS n, count(*) FILTER (text_id IS NULL AND side = 'boundary') AS b FROM attached GROUP BY ALL) a ON a.image_id = c.image_id AND a.connection_id = c.id
@@ -191,10 +191,10 @@ UNION ALL SELECT image_id, id, 'T' || row_number() OVER (PARTITION BY image_id O
     "prf_report": SCENE + _SETOPS + """ SELECT round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1
 FROM (SELECT CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) / (sum(tp) + sum(fp)) ELSE 0 END AS p, CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) / (sum(tp) + sum(fn)) ELSE 0 END AS r FROM counts)""",
     "yolo_lines": SCENE + f"""o AS (SELECT image_id, 0 AS part, ord, type AS class, x, y, w, h FROM shapes WHERE list_contains({_CLASSES}, type) UNION ALL SELECT image_id, 2, ord, 'text', x, y, w, h FROM texts),
-c AS (SELECT *, greatest(0, least(1, x / 1200)) AS x0, greatest(0, least(1, (x + w) / 1200)) AS x1, greatest(0, least(1, y / 900)) AS y0, greatest(0, least(1, (y + h) / 900)) AS y1 FROM o)
+c AS (SELECT *, round_even(greatest(0, least(1, x / 1200)), 5) AS x0, round_even(greatest(0, least(1, (x + w) / 1200)), 5) AS x1, round_even(greatest(0, least(1, y / 900)), 5) AS y0, round_even(greatest(0, least(1, (y + h) / 900)), 5) AS y1 FROM o)
 SELECT image_id, part, ord, printf('%d %.5f %.5f %.5f %.5f %.5f %.5f %.5f %.5f', list_position({_CLASSES}, class) - 1, x0, y0, x1, y0, x1, y1, x0, y1) AS line FROM c""",
-    "coco_annotations": SCENE + f"""o AS (SELECT image_id, 0 AS part, ord, type AS class, w, h FROM shapes WHERE list_contains({_CLASSES}, type) UNION ALL SELECT image_id, 2, ord, 'text', w, h FROM texts)
-SELECT row_number() OVER (ORDER BY image_id, part, ord) AS id, image_id, list_position({_CLASSES}, class) AS category_id, round_even(w * h, 1) AS area FROM o""",
+    "coco_annotations": SCENE + f"""o AS (SELECT image_id, 0 AS part, ord, type AS class, x, y, x + w AS r, y + h AS b FROM shapes WHERE list_contains({_CLASSES}, type) UNION ALL SELECT image_id, 2, ord, 'text', x, y, x + w, y + h FROM texts)
+SELECT row_number() OVER (ORDER BY image_id, part, ord) AS id, image_id, list_position({_CLASSES}, class) AS category_id, round_even(abs((((x * y - y * r) + r * b - y * r) + r * b - b * x) + x * y - b * x) / 2, 1) AS area FROM o""",
     "ocr_tsv": SCENE + "z AS (SELECT 1) SELECT printf('syn_%06d_', image_id) || id || '.png' AS path, text, 0 AS crossed_out FROM texts WHERE text <> '' AND least(1200, x + w + 3) - greatest(0, x - 3) >= 4 AND least(900, y + h + 3) - greatest(0, y - 3) >= 4",
     "model_box": SCENE + """n AS (SELECT image_id, id, round_even(1000 * x / 1200, 0) AS x0, round_even(1000 * y / 900, 0) AS y0, round_even(1000 * (x + w) / 1200, 0) AS x1, round_even(1000 * (y + h) / 900, 0) AS y1 FROM shapes),
 b AS (SELECT image_id, id, greatest(0, x0 * CAST(1.2 AS DOUBLE)) AS x0, greatest(0, y0 * CAST(0.9 AS DOUBLE)) AS y0, least(1200, x1 * CAST(1.2 AS DOUBLE)) AS x1, least(900, y1 * CAST(0.9 AS DOUBLE)) AS y1 FROM n)
