@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sketchgraph.functions import geometry as g
 from sketchgraph.functions import text as t
 from sketchgraph.model import Scene
+from sketchgraph.storage import write_table
 
 # Fixed values.
 MIN_INSIDE, AREA_RATIO = 0.92, 1.05
@@ -53,20 +54,21 @@ def ancestors(parents_: DataFrame) -> DataFrame:
 
     Circular links end where a chain comes back to its start.
     """
-    known = parents_.select("image_id", "id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps")).where("ancestor is not null and ancestor <> id").persist()
-    reach = 1
+    known = parents_.select("image_id", "id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps")).where("ancestor is not null and ancestor <> id")
+    known, reach = write_table(known, "ancestors"), 1
     while True:
         far = known.where(F.col("steps") == reach).alias("a").join(known.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.ancestor") == F.col("b.id")))
         far = far.select("a.image_id", "a.id", "b.ancestor", (F.col("a.steps") + F.col("b.steps")).alias("steps")).where("ancestor <> id")
-        more = far.join(known.select("image_id", "id", "ancestor"), ["image_id", "id", "ancestor"], "left_anti").groupBy("image_id", "id", "ancestor").agg(F.min("steps").alias("steps")).persist()
+        more = far.join(known.select("image_id", "id", "ancestor"), ["image_id", "id", "ancestor"], "left_anti").groupBy("image_id", "id", "ancestor").agg(F.min("steps").alias("steps"))
+        more = write_table(more, "ancestors")
         if more.isEmpty():
             return known
-        known, reach = known.unionByName(more).persist(), reach * 2
+        known, reach = known.unionByName(more), reach * 2
 
 
 def with_containment(shapes: DataFrame) -> DataFrame:
     """Shapes with parent_id and depth."""
-    own = parents(shapes).persist()
+    own = write_table(parents(shapes), "parents")
     depth = ancestors(own).groupBy("image_id", "id").agg(F.max("steps").alias("depth"))
     bare = shapes.drop("parent_id", "depth")
     return bare.join(own, ["image_id", "id"], "left").join(depth, ["image_id", "id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
@@ -271,16 +273,19 @@ def crossed_out(shapes: DataFrame) -> DataFrame:
 
 
 def kept(scene: Scene) -> Scene:
-    """The scene with its tables cached (memory, then disk), since every later step reads them several times."""
-    return scene.with_(shapes=scene.shapes.persist(), texts=scene.texts.persist(), connections=scene.connections.persist())
+    """The scene with its tables written to the shared folder, since every later step reads them several times."""
+    return scene.with_(**{n: write_table(getattr(scene, n), n) for n in ("images", "shapes", "texts", "connections")})
 
 
 def updated(scene: Scene) -> Scene:
     """The whole topology of a scene, in the order in which its parts depend on one another."""
-    scene = kept(scene.with_(shapes=with_containment(scene.shapes)))
-    for step in (with_placement, with_attachment, pruned, with_labels):
-        scene = kept(step(scene))
-    pairs = shape_pairs(scene, scene.shapes.select("image_id", "id", "parent_id").where("parent_id is not null")).persist()
+    scene = kept(scene)
+    scene = scene.with_(shapes=write_table(with_containment(scene.shapes), "shapes"))
+    scene = scene.with_(texts=write_table(with_placement(scene).texts, "texts"))
+    scene = scene.with_(connections=write_table(pruned(with_attachment(scene)).connections, "connections"))
+    labelled = with_labels(scene)
+    scene = scene.with_(texts=write_table(labelled.texts, "texts"), connections=write_table(labelled.connections, "connections"))
+    pairs = write_table(shape_pairs(scene, scene.shapes.select("image_id", "id", "parent_id").where("parent_id is not null")), "pairs")
     return scene.with_(relations=relations(scene, pairs), shapes=crossed_out(scene.shapes))
 
 
