@@ -2,7 +2,8 @@
 
 Documents are tokenised once; only lengths are packed. Partitions of at most ``PART_ROWS`` pieces are packed by best-fit
 decreasing and certified by dual-feasible-function lower bounds. Partitions above their bound put the pieces of their
-unfilled bins together, several partitions into one, and are packed again, until one partition is left.
+unfilled bins together, certified ones those of their emptiest bin (so that rounding up costs no bin a partition), several
+partitions into one, and these are packed again, until one partition is left.
 """
 
 from __future__ import annotations
@@ -98,8 +99,9 @@ def _packed(rows: Iterable[tuple], limit: int, last: bool) -> Iterator[tuple]:
         lengths = np.fromiter((r[2] for r in group), np.int64, len(group))
         bins, offsets, room = best_fit_decreasing(lengths, limit)
         gap = not last and len(room) > lower_bound(lengths, limit)
+        emptiest = -1 if last else int(np.argmax(room))
         for r, b, o in zip(group, bins.tolist(), offsets.tolist(), strict=True):
-            yield part, r[1], r[2], b, o, gap and room[b] > 0
+            yield part, r[1], r[2], b, o, room[b] > 0 and (gap or b == emptiest)
 
 
 def pack(pieces: DataFrame, limit: int = 4096, part_rows: int = PART_ROWS) -> DataFrame:
