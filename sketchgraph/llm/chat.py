@@ -124,7 +124,7 @@ def rendered(role: int, text: str, action: str) -> str:
 def repaired(turns: DataFrame) -> DataFrame:
     """(conv_id, position, turn, role, action, text, rendered) of the repaired turns of ``turns`` (conv_id, turn, role, text).
 
-    A conversation's rendering is its rows' ``rendered`` in order of position (not gapless). Turns go by turn (null first),
+    A conversation's rendering is its rows' ``rendered`` in order of position (from 0). Turns go by turn (null first),
     then role and text; exact repeats of a row are one turn; a null text is empty; unknown or null roles are relabelled; a
     null conv_id is a conversation of its own. Inserted turns have a null ``turn`` and no text. Empty tables give no rows.
     """
@@ -149,19 +149,40 @@ def repaired(turns: DataFrame) -> DataFrame:
         if len(runs) > 1:
             for k, ((part, _), states) in enumerate(zip(runs, chain([m for _, m in runs]), strict=True)):
                 known[part, conv] = (*states, k == len(runs) - 1)
-    shared = turns.sparkSession.sparkContext.broadcast(known)
+    spark = turns.sparkSession
+
+    def rows_of_run(part, conv, group, states):
+        roles = [_role(r[4]) for r in group]
+        entry, leave, last = states or (BEGIN, best_end(forward(roles, BEGIN)[-1]), True)
+        for r, (role, action, before) in zip(group, trace(roles, entry, leave), strict=True):
+            for extra in before:
+                yield conv, None, NAMES[extra], "insert", "", rendered(extra, "", "insert") + "<|im_end|>\n"
+            yield conv, r[3], NAMES[role], action, r[5], rendered(role, r[5], action)
+        for extra in ENDINGS[leave] if last else ():
+            yield conv, None, NAMES[extra], "insert", "", rendered(extra, "", "insert") + "<|im_end|>\n"
+
+    offsets: dict = {}
+    if known:
+        cut = spark.sparkContext.broadcast(known)
+
+        def sizes(it):
+            for (part, conv), group in groups_of(it, 2):
+                if (part, conv) in cut.value:
+                    yield part, conv, sum(1 for _ in rows_of_run(part, conv, group, cut.value[part, conv]))
+
+        so_far: dict = {}
+        counted = map_rows(dealt, lambda: sizes, pa.schema([("part", pa.int32()), ("conv_id", pa.int64()), ("n", pa.int64())]), "part int, conv_id long, n long")
+        for r in sorted(counted.collect(), key=lambda r: r["part"]):
+            offsets[r["part"], r["conv_id"]] = so_far.get(r["conv_id"], 0)
+            so_far[r["conv_id"]] = so_far.get(r["conv_id"], 0) + r["n"]
+    shared = spark.sparkContext.broadcast((known, offsets))
 
     def out(it):
+        states, starts = shared.value
         for (part, conv), group in groups_of(it, 2):
-            roles = [_role(r[4]) for r in group]
-            entry, leave, last = shared.value.get((part, conv)) or (BEGIN, best_end(forward(roles, BEGIN)[-1]), True)
-            for r, (role, action, before) in zip(group, trace(roles, entry, leave), strict=True):
-                at = r[2] * 8
-                for k, extra in enumerate(before):
-                    yield conv, at + k, None, NAMES[extra], "insert", "", rendered(extra, "", "insert") + "<|im_end|>\n"
-                yield conv, at + 4, r[3], NAMES[role], action, r[5], rendered(role, r[5], action)
-            for k, extra in enumerate(ENDINGS[leave] if last else ()):
-                yield conv, group[-1][2] * 8 + 5 + k, None, NAMES[extra], "insert", "", rendered(extra, "", "insert") + "<|im_end|>\n"
+            start = starts.get((part, conv), 0)
+            for k, row in enumerate(rows_of_run(part, conv, group, states.get((part, conv)))):
+                yield (row[0], start + k, *row[1:])
 
     fields = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("text", pa.string()), ("rendered", pa.string())])
     return map_rows(dealt, lambda: out, fields, "conv_id long, position long, turn long, role string, action string, text string, rendered string", 1024)
@@ -170,7 +191,7 @@ def repaired(turns: DataFrame) -> DataFrame:
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, text): each conversation's whole rendering, for conversations that fit into a string."""
     rows = repaired(turns)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("position", "action", "rendered"))), lambda p: p)
+    parts = F.array_sort(F.collect_list(F.struct("position", "action", "rendered")))
     joined = F.aggregate(
         "parts",
         F.lit(""),
