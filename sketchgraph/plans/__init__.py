@@ -1,0 +1 @@
+"""The operators over the test tables, and their SQL."""

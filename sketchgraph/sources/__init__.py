@@ -1,0 +1 @@
+"""Where scenes come from."""

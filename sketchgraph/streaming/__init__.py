@@ -1,0 +1 @@
+"""Scenes that arrive over time."""

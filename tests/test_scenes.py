@@ -217,3 +217,13 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(got.columns) == columns
     key = lambda df: sorted(tuple("" if v is None or v != v else str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_stream_of_drawings(spark, tmp_path):
+    from sketchgraph.streaming.batches import per_batch
+
+    rows = generated(spark, 12, seed=2)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    per_batch(stream, lambda d: d.select("image_id", F.size("shapes").alias("n")), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination(60)
+    assert {(r["image_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(r["image_id"], len(r["shapes"])) for r in rows.collect()}
