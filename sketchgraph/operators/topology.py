@@ -37,14 +37,22 @@ def _sides(shapes: DataFrame, prefix: str, *columns: str) -> DataFrame:
 def parents(shapes: DataFrame) -> DataFrame:
     """(image_id, id, parent_id): the smallest shape that holds at least 92 % of a shape's sampled outline."""
     sized = with_area(shapes)
-    child = _sides(sized, "c_").withColumn("sample", g.every_nth(F.when(F.size("c_polygon") >= 3, F.col("c_polygon")).otherwise(F.array(g.center(F.col("c_bbox")))))).drop("c_polygon")
+    child = _sides(sized, "c_").withColumn("sample", g.every_nth(F.when(F.size("c_polygon") >= 3, F.col("c_polygon")).otherwise(F.array(g.center(F.col("c_bbox"))))))
+    # with so few corners that none may lie outside, the holder's box holds the whole box: a plain comparison
+    child = child.withColumn("whole", F.size("c_polygon").between(3, int(1 / (1 - MIN_INSIDE)))).drop("c_polygon")
     holder = _sides(sized.where(F.size("polygon") >= 3), "p_")
-    near = (F.col("p_area") > AREA_RATIO * F.col("c_area")) & (F.col("p_id") != F.col("c_id")) & _boxes_meet(F.col("c_bbox"), F.col("p_bbox"))
+    near = (F.col("p_area") > AREA_RATIO * F.col("c_area")) & (F.col("p_id") != F.col("c_id")) & _boxes_meet(F.col("c_bbox"), F.col("p_bbox")) & (~F.col("whole") | _holds(F.col("p_bbox"), F.col("c_bbox")))
     pairs = child.join(holder, "image_id").where(near).where(g.fraction_inside(F.col("sample"), F.col("p_polygon")) >= MIN_INSIDE)
     best = pairs.groupBy("image_id", "c_id").agg(F.min(F.struct("p_area", "p_ord", "p_id")).alias("m"))
     return best.select("image_id", F.col("c_id").alias("id"), F.col("m.p_id").alias("parent_id"))
 
 
+def _holds(a: Column, b: Column) -> Column:
+    """Whether box ``a`` holds box ``b``, give or take rounding (exact geometry follows)."""
+    e = 1e-6
+    return (a["x"] <= b["x"] + e) & (a["y"] <= b["y"] + e) & (a["x"] + a["w"] >= b["x"] + b["w"] - e) & (a["y"] + a["h"] >= b["y"] + b["h"] - e)
+
+
 def _boxes_meet(a: Column, b: Column) -> Column:
     return (a["x"] <= b["x"] + b["w"]) & (b["x"] <= a["x"] + a["w"]) & (a["y"] <= b["y"] + b["h"]) & (b["y"] <= a["y"] + a["h"])
 
