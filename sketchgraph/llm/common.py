@@ -17,13 +17,22 @@ from pyspark.sql import functions as F
 from sketchgraph.storage import write_table  # noqa: F401
 
 #: Entries that a worker-local memo may hold before it is emptied (bounds worker memory, never changes a result).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
+#: Rows of an Arrow batch: a batch's texts lie in memory at once, in the JVM and in the worker.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(column: str = "text") -> Column:
     """The column's UTF-8 bytes; null gives none."""
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
@@ -104,6 +113,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterator[tuple]], Iterable[tuple]]], schema: pa.Schema, ddl: str, size: int = 4096) -> DataFrame:
     """``mapInArrow`` over tuples: ``make()`` runs once a task and gives a function from its rows to output rows."""
 
+    small_batches(df.sparkSession)
+
     def run(it):
         yield from batches(make()(row for b in it for row in rows_of(b)), schema, size)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, write_table
+from .common import map_rows, small_batches, text_bytes, write_table
 from .vocab import with_row_ids
 
 #: Words in a window; bytes of item texts that one broadcast block holds at most (unless one item alone is longer).
@@ -170,6 +170,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of any item."""
+    small_batches(docs.sparkSession)
     for shared in _item_blocks(benchmark, block_bytes):
         docs = docs.where(~_hit_column(shared, window))
     return docs

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, text_bytes, write_table
+from .common import WordHashes, small_batches, text_bytes, write_table
 from .text_stats import FEATURES, features
 
 #: Weight of the pooled covariance in a class's, and of the diagonal in the pooled one.
@@ -120,6 +120,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated rows give a row each; a null doc_id is not held out and never labelled; other columns are ignored. Without
     labelled rows of both classes every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     featured = write_table(docs.select(F.col("doc_id").cast("long"), text_features(text_bytes()).alias("features")), "features")
     out = featured.select("doc_id", held_out().alias("held_out"), score_column(fit(featured, labels)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -127,6 +128,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, that score 0.5 or more."""
+    small_batches(docs.sparkSession)
     columns, name = docs.columns, "features"
     while name in columns:
         name += "_"

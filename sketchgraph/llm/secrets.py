@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes
+from .common import map_rows, small_batches, text_bytes
 
 KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -249,6 +249,7 @@ def redacted(data: bytes, net: Network, mark: str = "[SECRET]") -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with their columns, secrets in ``text`` replaced; ``n_chars``, if there, counts the new text. Null texts stay null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")
