@@ -19,12 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id (null last)."""
+    """One document of each group of near duplicates (similarity 0.8 or more): the one with the least doc_id (null last)."""
     name = "row"
     while name in docs.columns:
         name += "_"
     numbered = write_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    first = near_duplicates(numbered, row=name).where("first").select(F.col("row").alias(name))
+    first = near_duplicates(numbered, 80, 100, row=name).where("first").select(F.col("row").alias(name))
     return numbered.join(first, name, "left_semi").select(docs.columns)
 
 

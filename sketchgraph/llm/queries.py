@@ -12,7 +12,7 @@ from .oracle import ORACLE_SQL  # noqa: F401  tokenizers, networks and automata
 def op1_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
-    out = near_duplicates(read(spark, sf_dir, "documents"))
+    out = near_duplicates(read(spark, sf_dir, "documents"), 85, 100)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -126,6 +126,17 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_near_dups_stage_takes_similarity_from_80(spark):
+    import corpus_pipeline
+    from sketchgraph.llm.near_dups import near_duplicates
+
+    words = [f"w{i}" for i in range(400)]
+    copy = lambda k: " ".join(words[: 400 - k] + [f"c{k}_{i}" for i in range(k)])  # noqa: E731  similarity (396 - k) / (396 + k)
+    docs = spark.createDataFrame([(1, copy(0)), (2, copy(43)), (3, copy(46)), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dups(spark, docs, "").collect()) == [1, 3, 4]
+    assert near_duplicates(docs, 85, 100).where("first").count() == 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from sketchgraph.llm.common import read
