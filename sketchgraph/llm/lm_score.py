@@ -1,9 +1,10 @@
-"""Language-model scores by prediction by partial matching (PPM) over the bytes of words.
+"""Language-model scores by prediction by partial matching (PPM) over the bytes of documents.
 
-A byte-context trie of order five counts, in the training documents' words, which byte (or word end) follows each context;
-contexts begin at the word's start. A symbol is coded at the longest known context: by its count there less a half, or by an escape
-(method D: half a count for each distinct symbol) to the next shorter one, where the symbols already ruled out are excluded.
-Every distinct word is coded once; documents sum their words' code lengths through the vocabulary join.
+A document is its lower-cased words with a space between them. A byte-context trie of order five counts, in the training
+documents, which byte (or end) follows each context; contexts run across words and begin at the document's start. A symbol
+is coded at the longest known context: by its count there less a half, or by an escape (method D: half a count for each
+distinct symbol) to the next shorter one, where the symbols already ruled out are excluded. Every byte of a document is
+coded in its place; the code lengths of the training documents' own events are worked out once and looked up.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, map_rows, write_table
+from .common import lower_words, small_batches, text_bytes, write_table
 from .vocab import count_units, document_units, hot_units, rare_sums, with_row_ids
 
 ORDER = 5
 #: Bits of a key below its order: eight for each byte of context, nine for the symbol.
 LOW = 8 * ORDER + 9
+#: Bytes whose events are held as arrays at once.
+SLICE = 1 << 19
 START, WORD_END, TEXT_END, SYMBOLS = 0x20, 256, 257, 258
 
 
@@ -45,6 +48,38 @@ def events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(place + 1, ORDER) << LOW | context << 9 | symbol, owner
 
 
+def document_events(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The events of whole documents (bytes, spaces included, and one end), and each event's document; long ones are dealt in slices."""
+    keys, owner, held, size = [], [], [], 0
+
+    def out():
+        got, which = events([piece for _, _, _, piece in held])
+        lengths = np.array([len(piece) + 1 for _, _, _, piece in held])
+        place = np.arange(len(got)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        skip, last, text = (np.array([h[k] for h in held])[which] for k in range(3))
+        end = place == lengths[which] - 1
+        got = np.where(end, got & ~np.int64(511) | TEXT_END, got)
+        kept = (place >= skip) & (~end | last)
+        keys.append(got[kept])
+        owner.append(text[kept])
+        held.clear()
+
+    for i, data in enumerate(texts):
+        for at in range(0, len(data) + 1, SLICE):
+            held.append((min(at, ORDER), at + SLICE > len(data), i, data[max(0, at - ORDER) : at + SLICE]))
+            size += len(held[-1][3])
+            if size >= SLICE:
+                out()
+                size = 0
+    if held:
+        out()
+    return np.concatenate(keys or [np.empty(0, np.int64)]), np.concatenate(owner or [np.empty(0, np.int64)])
+
+
+def joined(data: bytes) -> bytes:
+    return b" ".join(lower_words(data))
+
+
 def text_end() -> int:
     return 1 << LOW | START << 9 | TEXT_END
 
@@ -56,8 +91,23 @@ def shorter(keys: np.ndarray) -> np.ndarray:
     return (order - 1) << LOW | (context & ((1 << (8 * (order - 1))) - 1)) << 9 | (keys & 511)
 
 
-def edge_counts(words: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the trie's edges at symbols' longest contexts, from (unit, n) of training words."""
+def blocks_of(it, column: int):
+    """(batch, its texts as words with a space between) from Arrow batches, about SLICE bytes at a time."""
+    for batch in it:
+        held, size, start = [], 0, 0
+        for at in range(0, batch.num_rows, 64):
+            part = [joined(t) for t in batch.column(column).slice(at, 64).to_pylist()]
+            held += part
+            size += sum(map(len, part))
+            if size >= SLICE:
+                yield batch.slice(start, len(held)), held
+                start, held, size = start + len(held), [], 0
+        if held:
+            yield batch.slice(start, len(held)), held
+
+
+def edge_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the trie's edges at symbols' longest contexts, from training documents (text as bytes)."""
 
     def merged(parts):
         keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -65,23 +115,20 @@ def edge_counts(words: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]
 
     def run(it):
         parts, size = [], 0
-        for batch in it:
-            for at in range(0, batch.num_rows, 16384):
-                part = batch.slice(at, 16384)
-                keys, owner = events(part.column(0).to_pylist())
-                parts.append(merged([(keys, part.column(1).to_numpy()[owner])]))
-                size += len(parts[-1][0])
-                if size > 2_000_000:
-                    parts = [merged(parts)]
-                    size = 0
+        for _, block in blocks_of(it, 0):
+            parts.append(np.unique(document_events(block)[0], return_counts=True))
+            size += len(parts[-1][0])
+            if size > 2_000_000:
+                parts = [merged(parts)]
+                size = 0
         if parts:
             keys, n = merged(parts)
             for at in range(0, len(keys), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 65536]), pa.array(n[at : at + 65536])], names=["key", "n"])
 
-    got = words.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    keys = np.append(got.column("key").to_numpy(), text_end())
-    n = np.append(got.column("n").to_numpy(), n_texts)
+    small_batches(texts.sparkSession)
+    got = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = got.column("key").to_numpy(), got.column("n").to_numpy()
     by = np.argsort(keys)
     return keys[by], n[by]
 
@@ -136,6 +183,22 @@ class Trie:
         out[open_] -= np.log10(np.maximum(SYMBOLS - off_distinct[open_], 1.0))
         return out
 
+    def remember(self, keys: np.ndarray) -> None:
+        """Work out the events ``keys`` (sorted) once; ``documents`` looks them up."""
+        self.known = keys
+        self.known_p = np.concatenate([self.log10_p(keys[at : at + SLICE]) for at in range(0, len(keys), SLICE)] or [np.empty(0)])
+
+    def documents(self, texts: list[bytes]) -> np.ndarray:
+        """Base-10 logarithm of the probability of each document."""
+        keys, owner = document_events(texts)
+        found, where = np.unique(keys, return_inverse=True)
+        p = np.empty(len(found))
+        at = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
+        seen = self.known[at] == found if len(self.known) else np.zeros(len(found), bool)
+        p[seen] = self.known_p[at[seen]]
+        p[~seen] = self.log10_p(found[~seen])
+        return np.bincount(owner, p[where], len(texts))
+
     def words(self, words: list[bytes]) -> np.ndarray:
         keys, owner = events(words)
         found, where = np.unique(keys, return_inverse=True)
@@ -155,25 +218,24 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     train = found.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = docs.where(~held_out()).count()
     n_train, n_types = train[0] + n_texts, train[1] + (n_texts > 0)
-    keys, counts = edge_counts(found.where("n > 0").select("unit", "n"), n_texts)
-    trie = spark.sparkContext.broadcast(Trie(keys[counts > 0], counts[counts > 0]))
+    keys, counts = edge_counts(docs.where(~held_out()).select(text_bytes().alias("text")))
+    trie = Trie(keys, counts)
+    trie.remember(keys)
+    trie = spark.sparkContext.broadcast(trie)
 
     def code(it):
-        for batch in it:
-            for at in range(0, batch.num_rows, 16384):
-                part = batch.slice(at, 16384)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trie.value.words(part.column(0).to_pylist()))], names=["unit", "n_all", "n", "log_p"])
+        for part, block in blocks_of(it, 2):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trie.value.documents(block))], names=[*part.schema.names, "score"])
 
-    table = write_table(found.mapInArrow(code, "unit binary, n_all long, n long, log_p double"), "coded")
+    scored = with_row_ids(docs, held_out().alias("held_out")).mapInArrow(code, "row long, doc_id long, text binary, held_out boolean, score double")
 
     def base(n):
         return float(np.log10((n + 1) / (n_train + n_types + 1)))
 
-    hot = {u: (base(n), float(n > 0), log_p) for u, _, n, log_p in hot_units(table)}
-    units = document_units(with_row_ids(docs, held_out().alias("held_out")), lambda: lower_words, hot, 3, "word-docs")
-    rows = rare_sums(units, table, [F.log10((F.col("n") + 1) / F.lit(float(n_train + n_types + 1))), (F.col("n") > 0).cast("double"), F.col("log_p")])
-    end = float(trie.value.log10_p(np.array([text_end()]))[0])
+    hot = {u: (base(n), float(n > 0)) for u, _, n in hot_units(found)}
+    units = document_units(scored, lambda: lower_words, hot, 2, "word-docs")
+    rows = rare_sums(units, found, [F.log10((F.col("n") + 1) / F.lit(float(n_train + n_types + 1))), (F.col("n") > 0).cast("double")])
     return rows.select(
         "doc_id", "held_out", (F.col("n_units") + 1).alias("n_tokens"), (F.col("v1").cast("long") + int(n_texts > 0)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("v0") + base(n_texts)).alias("base_score"), (F.col("v2") + end).alias("score"),
+        (F.col("v0") + base(n_texts)).alias("base_score"), "score",
     )

@@ -96,7 +96,7 @@ def document_units(rows: DataFrame, split: Callable[[], Split], hot: dict[bytes,
 
     rest = [f for f in rows.schema if f.name not in ("row", "text")]
     rare = pa.list_(pa.struct([("unit", pa.binary()), ("f", pa.int64())]))
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([("row", pa.int64()), *((f.name, types[f.dataType.simpleString()]) for f in rest), ("n_bytes", pa.int64()), ("n_units", pa.int64()), *((f"v{k}", pa.float64()) for k in range(n_values)), ("rare", rare)])
     ddl = ", ".join(["row long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_bytes long", "n_units long", *(f"v{k} double" for k in range(n_values)), "rare array<struct<unit:binary,f:bigint>>"])
     return write_table(map_rows(rows.select("row", "text", *(f.name for f in rest)), make, schema, ddl, 512), name)

@@ -284,6 +284,47 @@ def test_trie_matches_the_definition():
         assert trie.words([word])[0] == pytest.approx(want)
 
 
+def test_scores_follow_the_order_of_words(spark, monkeypatch):
+    """Contexts run across words: naive coding of whole documents gives the scores, and shuffled words score lower."""
+    texts = [*["The red fox sees the old dog near the tall oak tree."] * 6, "the oak", "", " a \n"]
+    shuffled = " ".join(sorted(texts[0].split(), key=lambda w: w[::-1]))
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    rows = [*zip(free, texts, strict=True), (held[0], texts[0]), (held[1], shuffled)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    counts = defaultdict(Counter)
+
+    def events(text):
+        history = (lm_score.START,)
+        for s in [*b" ".join(text.lower().encode().split()), lm_score.TEXT_END]:
+            yield history[-lm_score.ORDER :], s
+            history += (s,)
+
+    for text in texts:
+        for context, s in events(text):
+            for k in range(len(context) + 1):
+                counts[context[len(context) - k :]][s] += 1
+
+    def coded(context, symbol):
+        p, out = 1.0, set()
+        for k in range(len(context), -1, -1):
+            here = {s: c for s, c in counts.get(context[len(context) - k :], {}).items() if s not in out}
+            if symbol in here:
+                return p * (here[symbol] - 0.5) / sum(here.values())
+            p *= len(here) / 2 / sum(here.values()) if here else 1.0
+            out |= set(here)
+        return p / (lm_score.SYMBOLS - len(out))
+
+    for i, text in rows:
+        assert got[i] == pytest.approx(sum(np.log10(coded(c, s)) for c, s in events(text)))
+    assert got[held[1]] < got[held[0]] - 3
+    data = [lm_score.joined(t.encode()) for t in texts]
+    keys, owner = lm_score.document_events(data)
+    monkeypatch.setattr(lm_score, "SLICE", 7)
+    sliced, theirs = lm_score.document_events(data)
+    assert keys.tolist() == sliced.tolist() and owner.tolist() == theirs.tolist()
+
+
 def test_secret_scan(docs, none, table):
     assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     want = Counter()
