@@ -71,6 +71,42 @@ class WordHashes:
         return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
 
 
+class Table:
+    """A map from distinct non-negative integers to floats, looked up by arrays of keys (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (3 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            here = self.keys[at] == keys[left]
+            self.values[at[here]] = values[left[here]]
+            left, at = left[~here], (at[~here] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' values, and the places in ``keys`` of those that are not in the table."""
+        at = self._place(keys)
+        found = self.keys[at]
+        out = self.values[at]
+        open_ = np.flatnonzero(found != keys)
+        gone = [open_[found[open_] < 0]]
+        open_ = open_[found[open_] >= 0]
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at]
+            out[open_] = self.values[at]
+            gone.append(open_[found < 0])
+            more = (found >= 0) & (found != keys[open_])
+            open_, at = open_[more], at[more]
+        return out, np.concatenate(gone)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,30 +1,34 @@
 """Quality rules: counts over a text and bands of n-gram perplexity by language.
 
-The model is a modified Kneser-Ney model of order four over 64 symbol classes within words (letters, punctuation marks,
-one class for capitals, one for digits, three for bytes beyond ASCII), one for each language. Spark counts the n-grams of
-all documents; a language has at most 64^4 of them, which bounds what the driver gathers. Probabilities and back-off
-weights lie in arrays sorted by hash. A document is rejected if its perplexity leaves its language's band, which is set
-from the quartiles of all documents of the language that pass the counts.
+The model is a modified Kneser-Ney model of order four over the bytes of running text (words with a space between), one for
+each language. Spark counts the n-grams of all documents and the driver gathers the distinct ones. Probabilities and
+back-off weights lie in arrays sorted by hash; those of the n-grams counted are worked out once. A document is rejected if
+its perplexity leaves its language's band, which is set from the quartiles of all documents of the language that pass the
+counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, WordHashes, map_rows, mix, text_bytes, write_table
+from .common import Table, WordHashes, map_rows, mix, small_batches, text_bytes, write_table
 from .text_stats import base_counts
 
+#: Order and bits a symbol of n-grams over classes (``word_codes``), and over the bytes of running text.
 ORDER, BITS = 4, 6
+TEXT_ORDER, TEXT_BITS = 4, 8
 #: Interquartile half-ranges below and above the median of log perplexity that a language's band spans.
 BELOW, ABOVE = 8.0, 8.0
 #: Log perplexities are binned this finely for the quartiles.
 BIN = 1e-4
-HELD_WORDS = 300_000
+#: Bytes whose n-grams are held as arrays at once, and distinct n-grams of a task before they are merged.
+SLICE, HELD = 1 << 19, 1_000_000
+PAD = b" " * (TEXT_ORDER - 1)
 
 
 def _classes() -> np.ndarray:
@@ -53,64 +57,97 @@ def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, owner
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, code, n): the four-grams of all words of all documents, pre-aggregated in each task. Null lang counts as ''."""
-
-    def out(held):
-        for lang, words in held.items():
-            codes, owner = word_codes(list(words))
-            weight = np.fromiter(words.values(), np.int64, len(words))[owner]
-            found, where = np.unique(codes, return_inverse=True)
-            for code, n in zip(found.tolist(), np.bincount(where, weight).astype(np.int64).tolist(), strict=True):
-                yield lang, code, n
+def running_codes(texts: list[bytes]):
+    """Codes of the four bytes that end at each byte of PAD, text, PAD, text, ..., PAD (behind the first PAD), in slices.
 
-    def make():
-        def run(rows):
-            held: dict[str, Counter] = defaultdict(Counter)
-            for lang, data in rows:
-                words = data.split()
-                if words:
-                    held[lang].update(words)
-                if sum(map(len, held.values())) >= HELD_WORDS:
-                    yield from out(held)
-                    held.clear()
-            yield from out(held)
+    Texts are words with one space between, so the byte after a text ends it and only padding has two spaces in a row.
+    """
+    data = np.frombuffer(PAD + PAD.join(texts) + PAD, np.uint8)
+    n = len(data) - len(PAD)
+    for start in range(0, n, SLICE):
+        part = data[start : start + SLICE + len(PAD)].astype(np.int64)
+        m = len(part) - len(PAD)
+        codes = part[len(PAD) :].copy()
+        for k in range(1, TEXT_ORDER):
+            codes |= part[len(PAD) - k :][:m] << (TEXT_BITS * k)
+        yield codes
 
-        return run
 
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, code, n): the four-grams of all running texts, pre-aggregated in each task. Null lang counts as ''."""
+
+    def merged(parts):
+        codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def run(it):
+        counts, size = defaultdict(list), 0
+        texts, waiting = defaultdict(list), 0
+
+        def count():
+            nonlocal size, waiting
+            for lang, held in texts.items():
+                for codes in running_codes(held):
+                    counts[lang].append(np.unique(codes[codes & 0xFFFF != 0x2020], return_counts=True))
+                    size += len(counts[lang][-1][0])
+            texts.clear()
+            waiting = 0
+
+        def out():
+            for lang, parts in counts.items():
+                codes, n = merged(parts)
+                for at in range(0, len(codes), 65536):
+                    part = codes[at : at + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[at : at + 65536])], names=["lang", "code", "n"])
+            counts.clear()
+
+        for batch in it:
+            for at in range(0, batch.num_rows, 64):
+                for lang, data in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    words = data.split()
+                    if words:
+                        texts[lang].append(b" ".join(words))
+                        waiting += len(data)
+                if waiting >= 4 * SLICE:
+                    count()
+                if size >= HELD:
+                    for lang, parts in counts.items():
+                        counts[lang] = [merged(parts)]
+                    size = 0
+                    if sum(len(parts[0][0]) for parts in counts.values()) >= HELD:
+                        yield from out()
+        count()
+        yield from out()
+
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_bytes().alias("text"))
-    return map_rows(rows, make, schema, "lang string, code long, n long", 65536).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over packed four-grams, looked up in sorted hash arrays."""
+    """Interpolated modified Kneser-Ney over packed n-grams, looked up in sorted hash arrays."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, top: int = ORDER, bits: int = BITS):
+        self.top, self.bits = top, bits
         keys, values = [], []
         grams, seen = codes, counts.astype(np.float64)
         levels = [(grams, seen)]
-        raw = (codes, counts.astype(np.float64))
-        for order in range(ORDER - 1, 0, -1):
-            low = (1 << (BITS * order)) - 1
+        for order in range(top - 1, 0, -1):
+            low = (1 << (bits * order)) - 1
             short, where = np.unique(grams & low, return_inverse=True)
-            extensions = np.bincount(where).astype(np.float64)
-            whole, at = np.unique(raw[0] & low, return_inverse=True)
-            sums = np.bincount(at, raw[1])
-            first = short >> (BITS * (order - 1)) == 0  # begins at a word's start: has no left extension but the start
-            seen = np.where(first & (order > 1), sums[np.searchsorted(whole, short)], extensions)
+            seen = np.bincount(where).astype(np.float64)
             grams = short
             levels.append((grams, seen))
-        below_keys, below = np.zeros(1, np.int64), np.array([1 / (1 << BITS)])
+        below_keys, below = np.zeros(1, np.int64), np.array([1 / (1 << bits)])
         for order, (grams, seen) in enumerate(reversed(levels), 1):
             n1, n2, n3, n4 = (max(1.0, float((seen == k).sum())) for k in (1, 2, 3, 4))
             y = n1 / (n1 + 2 * n2)
             d = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
             off = d[np.minimum(seen, 3).astype(np.int64)]
-            contexts, where = np.unique(grams >> BITS, return_inverse=True)
+            contexts, where = np.unique(grams >> bits, return_inverse=True)
             total = np.bincount(where, seen)
             gamma = np.bincount(where, off) / total
-            shorter = grams & ((1 << (BITS * (order - 1))) - 1) if order > 1 else np.zeros(len(grams), np.int64)
+            shorter = grams & ((1 << (bits * (order - 1))) - 1) if order > 1 else np.zeros(len(grams), np.int64)
             p = (seen - off) / total[where] + gamma[where] * below[np.searchsorted(below_keys, shorter)]
             keys += [self.hash(grams, order), self.hash(contexts, order + 16)]
             values += [np.log(p), np.log(gamma)]
@@ -130,22 +167,35 @@ class KneserNey:
         return found, np.where(found, self.values[at], otherwise)
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each symbol's probability after up to three symbols of its word."""
-        p = np.full(len(codes), -BITS * np.log(2))
-        for order in range(1, ORDER + 1):
-            mine = codes & ((1 << (BITS * order)) - 1)
+        """Natural logarithm of each symbol's probability after the symbols before it."""
+        p = np.full(len(codes), -self.bits * np.log(2))
+        for order in range(1, self.top + 1):
+            mine = codes & ((1 << (self.bits * order)) - 1)
             found, here = self.look(mine, order, 0.0)
             rest = np.flatnonzero(~found)
-            _, gamma = self.look(mine[rest] >> BITS, order + 16, 0.0)
+            _, gamma = self.look(mine[rest] >> self.bits, order + 16, 0.0)
             lower = p[rest] + gamma
             p = here
             p[rest] = lower
         return p
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        codes, owner = word_codes(words)
-        found, where = np.unique(codes, return_inverse=True)
-        return np.bincount(owner, self.log_p(found)[where], len(words))
+    def remember(self, codes: np.ndarray) -> None:
+        """Work out ``codes`` once; ``texts`` looks them up."""
+        self.known = Table(codes, np.concatenate([self.log_p(codes[at : at + SLICE]) for at in range(0, len(codes), SLICE)] or [np.empty(0)]))
+
+    def texts(self, texts: list[bytes]) -> np.ndarray:
+        """Natural logarithm of the probability of each text, its end included."""
+        parts = []
+        for codes in running_codes(texts):
+            p, new = self.known.look(codes)
+            if len(new):
+                p[new] = self.log_p(codes[new])
+            parts.append(p)
+        if not texts:
+            return np.empty(0)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(lengths + len(PAD)) - lengths - len(PAD)
+        return np.add.reduceat(np.concatenate(parts), np.stack([starts, starts + lengths + 1], axis=1).ravel(), dtype=np.float64)[::2]
 
 
 def fit(docs: DataFrame) -> dict[str, KneserNey]:
@@ -157,7 +207,8 @@ def fit(docs: DataFrame) -> dict[str, KneserNey]:
     for lang in sorted(set(langs.tolist())):
         mine = np.flatnonzero(langs == lang)
         by = mine[np.argsort(codes[mine])]
-        models[lang] = KneserNey(codes[by], counts[by])
+        models[lang] = KneserNey(codes[by], counts[by], TEXT_ORDER, TEXT_BITS)
+        models[lang].remember(codes[by])
     return models
 
 
@@ -166,26 +217,21 @@ def scored(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        hashes, memos = WordHashes(), defaultdict(dict)
+        hashes = WordHashes()
 
         def block(rows):
             split = [data.split() for _, _, data in rows]
-            missing = defaultdict(set)
-            for (_, lang, _), words in zip(rows, split, strict=True):
-                memo = memos[lang]
-                missing[lang].update(w for w in words if w not in memo)
-            for lang, words in missing.items():
-                new = list(words)
-                if new:
-                    memos[lang].update(zip(new, shared.value[lang].words(new).tolist(), strict=True))
-            for (doc_id, lang, data), words in zip(rows, split, strict=True):
+            groups = defaultdict(list)
+            for k, (_, lang, _) in enumerate(rows):
+                if split[k]:
+                    groups[lang].append(k)
+            totals = np.zeros(len(rows))
+            for lang, places in groups.items():
+                totals[places] = shared.value[lang].texts([b" ".join(split[k]) for k in places])
+            for (doc_id, lang, data), words, total in zip(rows, split, totals.tolist(), strict=True):
                 n = len(words)
-                counts = base_counts(data, words, hashes)
-                total = sum(map(memos[lang].__getitem__, words))
                 symbols = sum(map(len, words)) + n
-                yield (doc_id, lang, n, *counts, -total / symbols if n else None)
-            if sum(map(len, memos.values())) > MEMO_ENTRIES:
-                memos.clear()
+                yield (doc_id, lang, n, *base_counts(data, words, hashes), -total / symbols if n else None)
 
         def run(rows):
             held, size = [], 0

@@ -228,6 +228,18 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.log_p((context << 6) + np.arange(64))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_perplexity_sees_the_order_of_words_and_other_scripts(spark):
+    rng = random.Random(8)
+    first, second, cyrillic = ["ab", "ob", "ub"], ["zix", "zox", "zux"], ["мо", "ре", "ва", "ли"]
+    latin = lambda: [w for _ in range(60) for w in (rng.choice(first), rng.choice(second))]
+    other = lambda: ["".join(rng.choice(cyrillic) for _ in range(3)) for _ in range(80)]
+    rows = [(i, " ".join(latin()), "en") for i in range(50)] + [(100 + i, " ".join(other()), "ru") for i in range(50)]
+    words, foreign = rows[0][1].split(), rows[50][1]
+    rows += [(200, " ".join(sorted(words, key=lambda w: (w[::-1], w))), "en"), (201, foreign.translate(str.maketrans("моревали", "гдсжзйкн")), "ru")]
+    got = {r["doc_id"]: r["perplexity"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[200] > 1.02 * got[0] and got[201] > 1.01 * got[100]
+
+
 def test_lm_scores(docs, none, table):
     train, tokens = Counter(), []
     for d, t, *_ in table:
