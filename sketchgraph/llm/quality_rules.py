@@ -22,8 +22,9 @@ from .text_stats import base_counts
 #: Order and bits a symbol of n-grams over classes (``word_codes``), and over the bytes of running text.
 ORDER, BITS = 4, 6
 TEXT_ORDER, TEXT_BITS = 4, 8
-#: Interquartile half-ranges below and above the median of log perplexity that a language's band spans.
-BELOW, ABOVE = 8.0, 8.0
+#: Interquartile half-ranges below and above the median of log perplexity that a language's band spans: Tukey's fences, 1.5
+#: interquartile ranges beyond the quartiles, which a normal spread leaves with 0.7 % of its values.
+BELOW, ABOVE = 4.0, 4.0
 #: Log perplexities are binned this finely for the quartiles.
 BIN = 1e-4
 #: Bytes whose n-grams are held as arrays at once, and distinct n-grams of a task before they are merged.

@@ -218,6 +218,27 @@ def test_quality_rules(docs, none, table):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_band_rejects_planted_junk_and_keeps_clean_text(spark):
+    """In each language of sf0.1, copies with marks after every third word are mostly rejected, texts labelled good mostly kept."""
+    sf, rng = "/root/testdata/sf0.1", random.Random(6)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("text is not null").collect()
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    clean = defaultdict(list)
+    for r in texts:
+        if r["doc_id"] in good and 60 <= len(r["text"].split()) <= 2000:
+            clean[r["lang"]].append(r)
+    rows, planted = [tuple(r) for r in texts], {}
+    for lang, found in sorted(clean.items()):
+        for r in rng.sample(found, 12):
+            planted[-1 - len(planted)] = lang
+            rows.append((-len(planted), " ".join(w + rng.choice(["###", "&&&", "$$$", " |", "%%"]) * (k % 3 == 0) for k, w in enumerate(r["text"].split())), lang))
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang, found in clean.items():
+        kept = [out[r["doc_id"]]["kept"] for r in found if not out[r["doc_id"]]["base_failed"]]
+        caught = [not out[d]["kept"] for d, x in planted.items() if x == lang]
+        assert sum(kept) >= 0.9 * len(kept) and sum(caught) >= 0.6 * len(caught)
+
+
 def test_kneser_ney_sums_to_one():
     words = {b"the": 5, b"then": 2, b"he": 1, b"ten": 3, b"\xc3\xa9t": 1, b"A1": 2}
     codes, owner = quality_rules.word_codes(list(words))
