@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate and its context.
 
 Candidates are runs of 16 characters or more of ``[A-Za-z0-9+/_=.-]`` with a digit. The network (numpy; one convolution,
-maximum pooling over the candidate and over its context, one logistic output) is trained on labelled findings that
+maximum pooling over the candidate and over its context, one logistic output) slides over candidates longer than its window,
+the highest probability counting, and is trained on labelled findings that
 ``labelled_findings`` writes from rules with a fixed seed; its output is calibrated by Platt scaling on findings kept apart,
 and the threshold is the largest that still finds the demanded share of their secrets.
 """
@@ -87,6 +88,11 @@ def encoded(text: str, a: int, b: int) -> np.ndarray:
     return CHARS[np.minimum(codes, 127)]
 
 
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """What the network sees of a candidate: its start and end and, if it is longer than WITHIN, each window of WITHIN characters."""
+    return [(a, b), *((s, s + WITHIN) for s in range(a + 1, b - WITHIN + 1))]
+
+
 @dataclass
 class Network:
     """Convolution of one-hot characters with a bias, maxima by part, logistic output, Platt scaling and a threshold."""
@@ -196,10 +202,13 @@ def spans_of(data: bytes, net: Network) -> list[tuple[int, int, int]]:
     text = data.decode("utf-8", "replace")
     found = base_spans(text, data)
     open_ = candidates(text, data, found)
-    for at in range(0, len(open_), 256):
-        part = open_[at : at + 256]
-        p = net.probability(np.stack([encoded(text, a, b) for a, b in part]))
-        found += [(a, 3, b) for (a, b), hit in zip(part, (p >= net.threshold).tolist(), strict=True) if hit]
+    seen = [(k, w) for k, (a, b) in enumerate(open_) for w in windows(a, b)]
+    hits = set()
+    for at in range(0, len(seen), 256):
+        part = seen[at : at + 256]
+        p = net.probability(np.stack([encoded(text, a, b) for _, (a, b) in part]))
+        hits.update(k for (k, _), hit in zip(part, (p >= net.threshold).tolist(), strict=True) if hit)
+    found += [(open_[k][0], 3, open_[k][1]) for k in hits]
     return sorted(found)
 
 

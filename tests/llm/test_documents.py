@@ -375,6 +375,19 @@ def test_secret_scan(docs, none, table):
     assert clean.where("text like '%0123456789abcdef%' or text like '%ghp_%'").count() == 0
 
 
+def test_network_sees_the_whole_candidate():
+    rng, net = random.Random(3), scan.trained()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = 0
+    for k in range(100):
+        secret = "".join(rng.choices(letters, k=24))
+        text = f"post to https://hooks.slack.com/services/T{k:08d}/B{k:08d}/{secret} now"
+        found += secret not in scan.redacted(text.encode(), net)
+    path = lambda n: "".join("".join(rng.choices(["an", "re", "ti", "on", "the", "ver"], k=3)) + rng.choice("/-_.") for _ in range(n))
+    wrong = sum(any(kind == 3 for _, kind, _ in scan.spans_of(f"see {path(rng.randrange(8, 20))}{k}.html now".encode(), net)) for k in range(100))
+    assert found >= 90 and wrong <= 3
+
+
 def test_network_holds_out():
     net = scan.trained()
     found = scan.labelled_findings(1000, 123)
