@@ -227,3 +227,36 @@ def test_stream_of_drawings(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     per_batch(stream, lambda d: d.select("image_id", F.size("shapes").alias("n")), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination(60)
     assert {(r["image_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(r["image_id"], len(r["shapes"])) for r in rows.collect()}
+
+
+def test_whole_detector_export_has_connectors(spark):
+    """Every connector of two points is a rectangle 4.8 wide about its path, and ids run on over all objects."""
+    from math import hypot
+
+    from sketchgraph.plans.queries import QUERIES
+    from sketchgraph.sources.scenes import order_scenes
+
+    sf = "/root/testdata/sf0.001"
+    s = order_scenes(spark, sf)
+    page = {r["image_id"]: (r["width"], r["height"]) for r in s.images.collect()}
+    lines = {(r["image_id"], r["part"], r["ord"]): r["line"].split(" ") for r in QUERIES["yolo_lines_whole"](spark, sf).collect()}
+    areas = {}
+    for r in s.connections.collect():
+        if r["image_id"] not in page:
+            continue
+        (ax, ay), (bx, by) = ((p["x"], p["y"]) for p in r["path"])
+        long = max(hypot(bx - ax, by - ay), 1e-9)
+        dx, dy = -(by - ay) / long * 2.4, (bx - ax) / long * 2.4
+        w, h = page[r["image_id"]]
+        want = [v for x, y in ((ax + dx, ay + dy), (bx + dx, by + dy), (bx - dx, by - dy), (ax - dx, ay - dy)) for v in (min(max(x / w, 0), 1), min(max(y / h, 0), 1))]
+        assert [float(v) for v in lines[r["image_id"], 1, r["ord"]][1:]] == pytest.approx(want, abs=2e-5)
+        areas.setdefault(r["image_id"], []).append(hypot(bx - ax, by - ay) * 4.8)
+    assert areas
+    rows = QUERIES["coco_annotations_whole"](spark, sf).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, len(rows) + 1)) and len(rows) == len(lines)
+    kinds = {int(v[0]) + 1 for (_, part, _), v in lines.items() if part == 1}
+    got = {}
+    for r in rows:
+        if r["category_id"] in kinds:
+            got.setdefault(r["image_id"], []).append(r["area"])
+    assert {k: pytest.approx(sorted(v), abs=0.06) for k, v in areas.items()} == {k: sorted(v) for k, v in got.items()}
