@@ -80,6 +80,17 @@ def box_distance(b: Column, x: Column, y: Column) -> Column:
     return F.hypot(dx, dy)
 
 
+def box_outline_distance(b: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the outline of a box."""
+    sides = F.least(x - b["x"], b["x"] + b["w"] - x, y - b["y"], b["y"] + b["h"] - y)
+    return F.when(box_contains(b, x, y), sides).otherwise(box_distance(b, x, y))
+
+
+def is_box(poly: Column, b: Column) -> Column:
+    """Whether a polygon is its own box, corner by corner: closed forms then stand for the walk along its edges."""
+    return poly == outline(b, F.lit("rectangle"))
+
+
 def outline(b: Column, kind: Column) -> Column:
     """The polygon of a shape known by box and type: 48 corners, a triangle, a diamond or the box."""
     x0, y0, x1, y1 = b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]
@@ -123,8 +134,19 @@ def within(edges: Column, x: Column, y: Column) -> Column:
     return F.size(crosses) % 2 == 1
 
 
+def on_edge(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on one of the edges, without rounding for upright and level ones."""
+
+    def holds(e):
+        a, b = e["a"], e["b"]
+        turn = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        return (turn == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    return F.exists(edges, holds)
+
+
 def within_or_on(edges: Column, x: Column, y: Column) -> Column:
-    return (distance_to(edges, x, y) == 0) | within(edges, x, y)
+    return on_edge(edges, x, y) | within(edges, x, y)
 
 
 def outline_distance(poly: Column, x: Column, y: Column) -> Column:
@@ -137,6 +159,11 @@ def inside(poly: Column, x: Column, y: Column) -> Column:
     return let(edges_of(poly), lambda e: within_or_on(e, x, y))
 
 
+def rounded(v: Column) -> Column:
+    """Lengths and areas at the grain at which they are compared (1e-6), so that equal ones tie."""
+    return F.rint(v * 1e6) / 1e6
+
+
 def signed_distance(poly: Column, x: Column, y: Column) -> Column:
     """Distance to the outline, negative outside."""
     return let(edges_of(poly), lambda e: F.when(within(e, x, y), distance_to(e, x, y)).otherwise(-distance_to(e, x, y)))

@@ -1,7 +1,7 @@
 """Spatial relations within each drawing, as joins on image_id with cheap box conditions before exact geometry.
 
 Every best-candidate choice is a minimum over a struct (an aggregate with map-side partial results), not a sort; ties go to
-the element that comes first in its table (``ord``). No join is without the equi-key image_id.
+the element that comes first in its table (``ord``), lengths and areas being compared at a grain of 1e-6. No join is without the equi-key image_id.
 """
 
 from __future__ import annotations
@@ -26,12 +26,26 @@ CROSSED_OUT_DENSITY = 0.33
 
 
 def with_area(shapes: DataFrame) -> DataFrame:
-    """Shapes with ``area``: the polygon's, or the box's if it has fewer than three corners."""
-    return shapes.withColumn("area", F.when(F.size("polygon") >= 3, g.polygon_area(F.col("polygon"))).otherwise(g.box_area(F.col("bbox"))))
+    """Shapes with ``area``: the polygon's, or the box's if that is the polygon or if it has fewer than three corners."""
+    round_ = (F.size("polygon") >= 3) & ~g.is_box(F.col("polygon"), F.col("bbox"))
+    return shapes.withColumn("area", g.rounded(F.when(round_, g.polygon_area(F.col("polygon"))).otherwise(g.box_area(F.col("bbox")))))
 
 
 def _sides(shapes: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    return shapes.select("image_id", *(F.col(c).alias(prefix + c) for c in ("id", "ord", "area", "bbox", "polygon", *columns)))
+    """The columns that pairs need, prefixed; ``boxy`` says that the polygon is its own box."""
+    marked = shapes.withColumn("boxy", F.coalesce(g.is_box(F.col("polygon"), F.col("bbox")), F.lit(False)))
+    return marked.select("image_id", *(F.col(c).alias(prefix + c) for c in ("id", "ord", "area", "bbox", "polygon", "boxy", *columns)))
+
+
+def _inside(prefix: str, x: Column, y: Column) -> Column:
+    """Whether a point lies in (or on) the polygon of a side that :func:`_sides` made."""
+    c = lambda n: F.col(prefix + n)
+    return F.when(c("boxy"), g.box_contains(c("bbox"), x, y)).otherwise(g.inside(c("polygon"), x, y))
+
+
+def _outline_distance(prefix: str, x: Column, y: Column) -> Column:
+    c = lambda n: F.col(prefix + n)
+    return F.when(c("boxy"), g.box_outline_distance(c("bbox"), x, y)).otherwise(g.outline_distance(c("polygon"), x, y))
 
 
 def parents(shapes: DataFrame) -> DataFrame:
@@ -42,14 +56,14 @@ def parents(shapes: DataFrame) -> DataFrame:
     child = child.withColumn("whole", F.size("c_polygon").between(3, int(1 / (1 - MIN_INSIDE)))).drop("c_polygon")
     holder = _sides(sized.where(F.size("polygon") >= 3), "p_")
     near = (F.col("p_area") > AREA_RATIO * F.col("c_area")) & (F.col("p_id") != F.col("c_id")) & _boxes_meet(F.col("c_bbox"), F.col("p_bbox")) & (~F.col("whole") | _holds(F.col("p_bbox"), F.col("c_bbox")))
-    pairs = child.join(holder, "image_id").where(near).where(g.fraction_inside(F.col("sample"), F.col("p_polygon")) >= MIN_INSIDE)
+    share = F.when(F.col("p_boxy"), F.size(F.filter("sample", lambda p: g.box_contains(F.col("p_bbox"), p["x"], p["y"]))) / F.size("sample")).otherwise(g.fraction_inside(F.col("sample"), F.col("p_polygon")))
+    pairs = child.join(holder, "image_id").where(near).where((F.col("whole") & F.col("c_boxy") & F.col("p_boxy") & _holds(F.col("p_bbox"), F.col("c_bbox"), 0.0)) | (share >= MIN_INSIDE))
     best = pairs.groupBy("image_id", "c_id").agg(F.min(F.struct("p_area", "p_ord", "p_id")).alias("m"))
     return best.select("image_id", F.col("c_id").alias("id"), F.col("m.p_id").alias("parent_id"))
 
 
-def _holds(a: Column, b: Column) -> Column:
-    """Whether box ``a`` holds box ``b``, give or take rounding (exact geometry follows)."""
-    e = 1e-6
+def _holds(a: Column, b: Column, e: float = 1e-6) -> Column:
+    """Whether box ``a`` holds box ``b``, give or take ``e`` (exact geometry follows)."""
     return (a["x"] <= b["x"] + e) & (a["y"] <= b["y"] + e) & (a["x"] + a["w"] >= b["x"] + b["w"] - e) & (a["y"] + a["h"] >= b["y"] + b["h"] - e)
 
 
@@ -87,7 +101,7 @@ def text_holders(shapes: DataFrame, texts: DataFrame) -> DataFrame:
     holder = _sides(with_area(shapes).where((F.size("polygon") >= 3) & (F.col("type") != "scribble")), "s_")
     at = texts.select("image_id", "id", g.center(F.col("bbox")).alias("at"))
     x, y = F.col("at.x"), F.col("at.y")
-    pairs = at.join(holder, "image_id").where(g.box_contains(F.col("s_bbox"), x, y)).where(g.inside(F.col("s_polygon"), x, y))
+    pairs = at.join(holder, "image_id").where(g.box_contains(F.col("s_bbox"), x, y)).where(_inside("s_", x, y))
     return pairs.groupBy("image_id", "id").agg(F.min(F.struct("s_area", "s_ord", "s_id")).alias("m")).select("image_id", "id", F.col("m.s_id").alias("inside_shape_id"))
 
 
@@ -96,9 +110,9 @@ def near_shapes(shapes: DataFrame, texts: DataFrame, images: DataFrame, heights:
     holder = _sides(shapes.where((F.size("polygon") >= 3) & (F.col("type") != "scribble")).withColumn("area", F.lit(0.0)), "s_")
     at = texts.join(images.select("image_id", "text_height"), "image_id").select("image_id", "id", g.center(F.col("bbox")).alias("at"), (F.hypot("bbox.w", "bbox.h") / 2 + heights * F.col("text_height")).alias("reach"))
     x, y = F.col("at.x"), F.col("at.y")
-    pairs = at.join(holder, "image_id").where(g.box_distance(F.col("s_bbox"), x, y) <= F.col("reach")).withColumn("d", g.outline_distance(F.col("s_polygon"), x, y))
-    pairs = pairs.where((F.col("d") <= F.col("reach")) & ~g.inside(F.col("s_polygon"), x, y))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct("d", "s_ord", "s_id"))), 1, NEAR_TEXTS)
+    pairs = at.join(holder, "image_id").where(g.box_distance(F.col("s_bbox"), x, y) <= F.col("reach")).where(~_inside("s_", x, y)).withColumn("d", _outline_distance("s_", x, y))
+    pairs = pairs.where(F.col("d") <= F.col("reach"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct(g.rounded(F.col("d")).alias("d"), "s_ord", "s_id"))), 1, NEAR_TEXTS)
     return pairs.groupBy("image_id", "id").agg(F.transform(ranked, lambda r: r["s_id"]).alias("near_shape_ids"))
 
 
@@ -127,16 +141,16 @@ def end_texts(ends: DataFrame, texts: DataFrame, images: DataFrame, strokes: flo
     """(image_id, connection_id, pos, text_id): the nearest text box of each end, if within tolerance."""
     reach = images.select("image_id", F.greatest(attach_tolerance(strokes), TEXT_HEIGHTS * F.col("text_height")).alias("reach"))
     pairs = ends.join(texts.select("image_id", "id", "ord", "bbox"), "image_id").join(reach, "image_id").withColumn("d", g.box_distance(F.col("bbox"), F.col("x"), F.col("y")))
-    best = pairs.where("d <= reach").groupBy("image_id", "connection_id", "pos").agg(F.min(F.struct("d", "ord", "id")).alias("m"))
+    best = pairs.where("d <= reach").groupBy("image_id", "connection_id", "pos").agg(F.min(F.struct(g.rounded(F.col("d")).alias("d"), "ord", "id")).alias("m"))
     return best.select("image_id", "connection_id", "pos", F.col("m.id").alias("text_id"))
 
 
 def end_shapes(ends: DataFrame, shapes: DataFrame, images: DataFrame, strokes: float = ATTACH_STROKES) -> DataFrame:
     """(image_id, connection_id, pos, shape_id, side): the smallest shape whose outline is near an end, else that holds it."""
     holder = _sides(with_area(shapes).where(F.size("polygon") >= 3), "s_")
-    x, y, poly = F.col("x"), F.col("y"), F.col("s_polygon")
+    x, y = F.col("x"), F.col("y")
     pairs = ends.join(holder, "image_id").join(images.select("image_id", attach_tolerance(strokes).alias("tol")), "image_id").where(g.box_contains(F.col("s_bbox"), x, y, F.col("tol")))
-    side = F.when(g.outline_distance(poly, x, y) <= F.col("tol"), 0).when(g.inside(poly, x, y), 1)
+    side = F.when(_outline_distance("s_", x, y) <= F.col("tol"), 0).when(_inside("s_", x, y), 1)
     best = pairs.withColumn("side", side).where("side is not null").groupBy("image_id", "connection_id", "pos").agg(F.min(F.struct("side", "s_area", "s_ord", "s_id")).alias("m"))
     return best.select("image_id", "connection_id", "pos", F.col("m.s_id").alias("shape_id"), F.when(F.col("m.side") == 0, "boundary").otherwise("inside").alias("side"))
 
@@ -147,19 +161,17 @@ def crossings(scene: Scene, strokes: float = ATTACH_STROKES) -> DataFrame:
     paths = scene.connections.where(F.size("path") >= 2).join(scene.images.select("image_id", "stroke_width", attach_tolerance(strokes).alias("tol")), "image_id")
     paths = paths.select("image_id", F.col("id").alias("connection_id"), "tol", "endpoints", g.box_of_points(F.col("path")).alias("box"), g.resampled(F.col("path"), F.greatest(F.lit(2.0), F.col("stroke_width"))).alias("points"))
     pairs = paths.join(holder, "image_id").where(g.intersection(g.expand(F.col("s_bbox"), F.col("tol")), g.expand(F.col("box"), F.lit(1.0))) > 0)
-    start = F.struct(F.lit(None).cast("boolean").alias("sign"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(False).alias("found"))
-
-    def away(x, y):
-        return F.forall("endpoints", lambda e: F.hypot(e["point"]["x"] - x, e["point"]["y"] - y) > CROSS_ENDS * F.col("tol"))
 
-    def step(edges):
-        def see(s, p):
-            sign = F.when(g.box_contains(F.col("s_bbox"), p["x"], p["y"]), g.within(edges, p["x"], p["y"]) & (g.distance_to(edges, p["x"], p["y"]) > 0)).otherwise(F.lit(False))
-            return g.let(sign, lambda v: F.struct(v.alias("sign"), p["x"].alias("x"), p["y"].alias("y"), (s["found"] | (F.coalesce(s["sign"] != v, F.lit(False)) & away(s["x"], s["y"]))).alias("found")))
+    def away(p):
+        return F.forall("endpoints", lambda e: F.hypot(e["point"]["x"] - p["x"], e["point"]["y"] - p["y"]) > CROSS_ENDS * F.col("tol"))
 
-        return F.aggregate("points", start, see, lambda s: s["found"])
+    def strictly(p):
+        b, x, y = F.col("s_bbox"), p["x"], p["y"]
+        return (x > b["x"]) & (x < b["x"] + b["w"]) & (y > b["y"]) & (y < b["y"] + b["h"])
 
-    return pairs.where(g.let(g.edges_of(F.col("s_polygon")), step)).select("image_id", "connection_id", F.col("s_id").alias("shape_id"), F.col("s_ord").alias("shape_ord"))
+    signs = F.when(F.col("s_boxy"), F.transform("points", strictly)).otherwise(g.let(g.edges_of(F.col("s_polygon")), lambda e: F.transform("points", lambda p: strictly(p) & g.within(e, p["x"], p["y"]) & ~g.on_edge(e, p["x"], p["y"]))))
+    flips = g.let(signs, lambda v: F.exists(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), lambda i: (F.get(v, i - 1) != F.get(v, i)) & away(F.get(F.col("points"), i - 1))))
+    return pairs.where(flips).select("image_id", "connection_id", F.col("s_id").alias("shape_id"), F.col("s_ord").alias("shape_ord"))
 
 
 def with_attachment(scene: Scene, strokes: float = ATTACH_STROKES) -> Scene:
@@ -199,7 +211,7 @@ def labels(scene: Scene) -> DataFrame:
     x, y = F.col("at.x"), F.col("at.y")
     pairs = at.join(paths, "image_id").where(g.box_contains(F.col("box"), x, y, LABEL_PAD * F.col("text_height") + F.col("half")))
     pairs = pairs.withColumn("d", F.array_min(F.transform("points", lambda p: F.hypot(p["x"] - x, p["y"] - y))) - F.col("half"))
-    best = pairs.where(F.col("d") <= LABEL_HEIGHTS * F.col("text_height")).groupBy("image_id", "id").agg(F.min(F.struct("d", "c_ord", "connection_id")).alias("m"))
+    best = pairs.where(F.col("d") <= LABEL_HEIGHTS * F.col("text_height")).groupBy("image_id", "id").agg(F.min(F.struct(g.rounded(F.col("d")).alias("d"), "c_ord", "connection_id")).alias("m"))
     return best.select("image_id", "id", F.col("m.connection_id").alias("connection_id"))
 
 

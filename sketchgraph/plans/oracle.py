@@ -38,7 +38,7 @@ def _parents(shapes: str) -> str:
     """All four corners of a box lie in its parent's: 92 % of four is four."""
     return f"""(
   SELECT image_id, id, parent_id FROM (
-    SELECT c.image_id, c.id, p.id AS parent_id, row_number() OVER (PARTITION BY c.image_id, c.id ORDER BY p.w * p.h, p.ord) AS r
+    SELECT c.image_id, c.id, p.id AS parent_id, row_number() OVER (PARTITION BY c.image_id, c.id ORDER BY round(p.w * p.h, 6), p.ord) AS r
     FROM {shapes} c JOIN {shapes} p ON c.image_id = p.image_id AND c.id <> p.id AND p.w * p.h > c.w * c.h * CAST(1.05 AS DOUBLE)
       AND c.x >= p.x AND c.x + c.w <= p.x + p.w AND c.y >= p.y AND c.y + c.h <= p.y + p.h
   ) WHERE r = 1)"""
@@ -70,11 +70,11 @@ def _outline_distance(s: str, px: str, py: str) -> str:
 
 _HOLDERS = f"""held AS (
   SELECT image_id, id, inside_shape_id FROM (
-    SELECT t.image_id, t.id, s.id AS inside_shape_id, row_number() OVER (PARTITION BY t.image_id, t.id ORDER BY s.w * s.h, s.ord) AS r
+    SELECT t.image_id, t.id, s.id AS inside_shape_id, row_number() OVER (PARTITION BY t.image_id, t.id ORDER BY round(s.w * s.h, 6), s.ord) AS r
     FROM texts t JOIN shapes s ON t.image_id = s.image_id AND s.type <> 'scribble' AND {_inside('s', '(t.x + t.w / 2)', '(t.y + t.h / 2)')}
   ) WHERE r = 1
 ), close_ AS (
-  SELECT image_id, id, s_id, row_number() OVER (PARTITION BY image_id, id ORDER BY d, s_ord) AS k FROM (
+  SELECT image_id, id, s_id, row_number() OVER (PARTITION BY image_id, id ORDER BY round(d, 6), s_ord) AS k FROM (
     SELECT t.image_id, t.id, s.id AS s_id, s.ord AS s_ord, {_outside_distance('s', '(t.x + t.w / 2)', '(t.y + t.h / 2)')} AS d, sqrt(t.w * t.w + t.h * t.h) / 2 + 40 AS reach
     FROM texts t JOIN shapes s ON t.image_id = s.image_id AND s.type <> 'scribble' AND NOT {_inside('s', '(t.x + t.w / 2)', '(t.y + t.h / 2)')}
   ) WHERE d <= reach
@@ -83,12 +83,12 @@ _HOLDERS = f"""held AS (
 
 _ATTACHED = f"""end_text AS (
   SELECT image_id, connection_id, pos, text_id FROM (
-    SELECT e.image_id, e.connection_id, e.pos, t.id AS text_id, {_outside_distance('t', 'e.x', 'e.y')} AS d, row_number() OVER (PARTITION BY e.image_id, e.connection_id, e.pos ORDER BY {_outside_distance('t', 'e.x', 'e.y')}, t.ord) AS r
+    SELECT e.image_id, e.connection_id, e.pos, t.id AS text_id, {_outside_distance('t', 'e.x', 'e.y')} AS d, row_number() OVER (PARTITION BY e.image_id, e.connection_id, e.pos ORDER BY round({_outside_distance('t', 'e.x', 'e.y')}, 6), t.ord) AS r
     FROM ends e JOIN texts t ON e.image_id = t.image_id
   ) WHERE r = 1 AND d <= CAST(0.6 AS DOUBLE) * 16
 ), end_shape AS (
   SELECT image_id, connection_id, pos, shape_id, CASE WHEN side = 0 THEN 'boundary' ELSE 'inside' END AS side FROM (
-    SELECT *, row_number() OVER (PARTITION BY image_id, connection_id, pos ORDER BY side, area, s_ord) AS r FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id, connection_id, pos ORDER BY side, round(area, 6), s_ord) AS r FROM (
       SELECT e.image_id, e.connection_id, e.pos, s.id AS shape_id, s.w * s.h AS area, s.ord AS s_ord, CASE WHEN {_outline_distance('s', 'e.x', 'e.y')} <= 8 THEN 0 WHEN {_inside('s', 'e.x', 'e.y')} THEN 1 END AS side
       FROM ends e JOIN shapes s ON e.image_id = s.image_id
     ) WHERE side IS NOT NULL
@@ -144,6 +144,19 @@ _ROTATED = """SELECT s.image_id, s.id, round_even(min(ox) , 4) AS x, round_even(
   FROM (SELECT s.image_id, s.id, i.rotation, unnest([s.x, s.x + s.w, s.x, s.x + s.w]) AS px, unnest([s.y, s.y + s.h, s.y + s.h, s.y]) AS py FROM shapes s JOIN images i USING (image_id))
 ) s GROUP BY ALL"""
 
+#: Detector objects by their four corners: shapes, connectors 4.8 wide about their two points, texts.
+_OBJECTS = f"""o AS (
+  SELECT image_id, 0 AS part, ord, type AS class, x AS x0, y AS y0, x + w AS x1, y AS y1, x + w AS x2, y + h AS y2, x AS x3, y + h AS y3 FROM shapes WHERE list_contains({_CLASSES}, type)
+  UNION ALL SELECT image_id, 1, ord, type, ax - dy, ay + dx, bx - dy, by_ + dx, bx + dy, by_ - dx, ax + dy, ay - dx
+  FROM (SELECT *, (bx - ax) / greatest(len, 1e-9) * 4.8 / 2 AS dx, (by_ - ay) / greatest(len, 1e-9) * 4.8 / 2 AS dy FROM (SELECT c.*, {_LENGTH} AS len FROM connections c))
+  UNION ALL SELECT image_id, 2, ord, 'text', x, y, x + w, y, x + w, y + h, x, y + h FROM texts
+)"""
+
+
+def _share(v: str, of: int) -> str:
+    return f"round_even(greatest(0, least(1, {v} / {of})), 5)"
+
+
 ORACLE_SQL = {
     "scene_stats": SCENE + _PARENTS + """
 SELECT i.image_id, coalesce(s.n, 0) AS shapes, coalesce(c.n, 0) AS connections, t.n AS texts, t.r AS texts_read, coalesce(s.d, 0) AS max_depth FROM images i
@@ -165,7 +178,7 @@ LEFT JOIN (SELECT image_id, count(*) AS n, count(*) FILTER (text <> '') AS r FRO
     "path_crossings": SCENE + _CROSSED + " SELECT * FROM crossed",
     "attached_ids": SCENE + _ATTACHED + """ SELECT image_id, connection_id AS id, concat_ws(',', a, CASE WHEN b IS DISTINCT FROM a THEN b END) AS ids FROM (SELECT image_id, connection_id, max(ref) FILTER (pos = 0) AS a, max(ref) FILTER (pos = 1) AS b FROM attached GROUP BY ALL)""",
     "connector_labels": SCENE + _ATTACHED + ", " + _points(3) + """ SELECT image_id, id, connection_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY image_id, id ORDER BY d, c_ord) AS r FROM (
+  SELECT *, row_number() OVER (PARTITION BY image_id, id ORDER BY round(d, 6), c_ord) AS r FROM (
     SELECT t.image_id, t.id, p.id AS connection_id, p.ord AS c_ord, min(sqrt((px - t.x - t.w / 2) * (px - t.x - t.w / 2) + (py - t.y - t.h / 2) * (py - t.y - t.h / 2))) - greatest(t.w, t.h) / 2 AS d
     FROM texts t JOIN points p ON t.image_id = p.image_id WHERE NOT EXISTS (SELECT 1 FROM attached a WHERE a.image_id = t.image_id AND a.text_id = t.id) GROUP BY t.image_id, t.id, p.id, p.ord, t.w, t.h
   ) WHERE d <= CAST(0.8 AS DOUBLE) * 16) WHERE r = 1""",
@@ -190,11 +203,8 @@ UNION ALL SELECT image_id, id, 'T' || row_number() OVER (PARTITION BY image_id O
     "containment_setops": SCENE + _SETOPS + " SELECT * FROM counts",
     "prf_report": SCENE + _SETOPS + """ SELECT round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1
 FROM (SELECT CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) / (sum(tp) + sum(fp)) ELSE 0 END AS p, CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) / (sum(tp) + sum(fn)) ELSE 0 END AS r FROM counts)""",
-    "yolo_lines": SCENE + f"""o AS (SELECT image_id, 0 AS part, ord, type AS class, x, y, w, h FROM shapes WHERE list_contains({_CLASSES}, type) UNION ALL SELECT image_id, 2, ord, 'text', x, y, w, h FROM texts),
-c AS (SELECT *, round_even(greatest(0, least(1, x / 1200)), 5) AS x0, round_even(greatest(0, least(1, (x + w) / 1200)), 5) AS x1, round_even(greatest(0, least(1, y / 900)), 5) AS y0, round_even(greatest(0, least(1, (y + h) / 900)), 5) AS y1 FROM o)
-SELECT image_id, part, ord, printf('%d %.5f %.5f %.5f %.5f %.5f %.5f %.5f %.5f', list_position({_CLASSES}, class) - 1, x0, y0, x1, y0, x1, y1, x0, y1) AS line FROM c""",
-    "coco_annotations": SCENE + f"""o AS (SELECT image_id, 0 AS part, ord, type AS class, x, y, x + w AS r, y + h AS b FROM shapes WHERE list_contains({_CLASSES}, type) UNION ALL SELECT image_id, 2, ord, 'text', x, y, x + w, y + h FROM texts)
-SELECT row_number() OVER (ORDER BY image_id, part, ord) AS id, image_id, list_position({_CLASSES}, class) AS category_id, round_even(abs((((x * y - y * r) + r * b - y * r) + r * b - b * x) + x * y - b * x) / 2, 1) AS area FROM o""",
+    "yolo_lines": SCENE + _OBJECTS + f""" SELECT image_id, part, ord, printf('%d %.5f %.5f %.5f %.5f %.5f %.5f %.5f %.5f', list_position({_CLASSES}, class) - 1, {", ".join(f"{_share(f'x{k}', 1200)}, {_share(f'y{k}', 900)}" for k in range(4))}) AS line FROM o""",
+    "coco_annotations": SCENE + _OBJECTS + f""" SELECT row_number() OVER (ORDER BY image_id, part, ord) AS id, image_id, list_position({_CLASSES}, class) AS category_id, round_even(abs((((x0 * y1 - y0 * x1) + x1 * y2 - y1 * x2) + x2 * y3 - y2 * x3) + x3 * y0 - y3 * x0) / 2, 1) AS area FROM o""",
     "ocr_tsv": SCENE + "z AS (SELECT 1) SELECT printf('syn_%06d_', image_id) || id || '.png' AS path, text, 0 AS crossed_out FROM texts WHERE text <> '' AND least(1200, x + w + 3) - greatest(0, x - 3) >= 4 AND least(900, y + h + 3) - greatest(0, y - 3) >= 4",
     "model_box": SCENE + """n AS (SELECT image_id, id, round_even(1000 * x / 1200, 0) AS x0, round_even(1000 * y / 900, 0) AS y0, round_even(1000 * (x + w) / 1200, 0) AS x1, round_even(1000 * (y + h) / 900, 0) AS y1 FROM shapes),
 b AS (SELECT image_id, id, greatest(0, x0 * CAST(1.2 AS DOUBLE)) AS x0, greatest(0, y0 * CAST(0.9 AS DOUBLE)) AS y0, least(1200, x1 * CAST(1.2 AS DOUBLE)) AS x1, least(900, y1 * CAST(0.9 AS DOUBLE)) AS y1 FROM n)

@@ -223,25 +223,13 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def yolo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = order_scenes(spark, sf_dir)
-    return export.yolo_lines(export.detector_objects(s).where("part <> 1"), s.images)
-
-
-@query
-def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = export.detector_objects(order_scenes(spark, sf_dir)).where("part <> 1")
-    return export.annotations(objects).select("id", "image_id", "category_id", "area")
-
-
-@query
-def yolo_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole detector export, connectors as thick lines included; the SQL of ``yolo_lines`` has no connectors."""
+    """The whole detector export, connectors as thick lines included."""
     s = order_scenes(spark, sf_dir)
     return export.yolo_lines(export.detector_objects(s), s.images)
 
 
 @query
-def coco_annotations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detection records, ids counted over shapes, connectors and texts."""
     objects = export.detector_objects(order_scenes(spark, sf_dir))
     return export.annotations(objects).select("id", "image_id", "category_id", "area")

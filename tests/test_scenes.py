@@ -202,17 +202,31 @@ def test_random_containment(spark):
     assert {r["id"]: r["parent_id"] for r in topology.parents(shapes).collect()} == want and math.isfinite(len(want))
 
 
-@pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["containment_parent", "nesting_depth", "text_placement", "endpoint_nearest_text", "renumber", "match_best_or_loose", "yolo_lines", "coco_annotations", "apply_corrections", "prf_report"])
-def test_queries_match_their_sql(spark, name):
-    import duckdb
+WHOLE = "/root/testdata/sf0.01"
 
-    from sketchgraph.plans.queries import ORACLE_SQL, QUERIES
+
+def _registered():
+    from sketchgraph.plans.queries import ORACLE_SQL
+
+    return sorted(ORACLE_SQL)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
 
     db = duckdb.connect()
-    for p in Path(SF).glob("*.parquet"):
+    for p in Path(WHOLE).glob("*.parquet"):
         db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    got, want = QUERIES[name](spark, SF).toPandas(), db.sql(ORACLE_SQL[name]).df()
+    return db
+
+
+@pytest.mark.skipif(not Path(WHOLE).exists(), reason="test tables are not here")
+@pytest.mark.parametrize("name", _registered())
+def test_queries_match_their_sql(spark, duck, name):
+    from sketchgraph.plans.queries import ORACLE_SQL, QUERIES
+
+    got, want = QUERIES[name](spark, WHOLE).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     key = lambda df: sorted(tuple("" if v is None or v != v else str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
@@ -239,7 +253,7 @@ def test_whole_detector_export_has_connectors(spark):
     sf = "/root/testdata/sf0.001"
     s = order_scenes(spark, sf)
     page = {r["image_id"]: (r["width"], r["height"]) for r in s.images.collect()}
-    lines = {(r["image_id"], r["part"], r["ord"]): r["line"].split(" ") for r in QUERIES["yolo_lines_whole"](spark, sf).collect()}
+    lines = {(r["image_id"], r["part"], r["ord"]): r["line"].split(" ") for r in QUERIES["yolo_lines"](spark, sf).collect()}
     areas = {}
     for r in s.connections.collect():
         if r["image_id"] not in page:
@@ -252,7 +266,7 @@ def test_whole_detector_export_has_connectors(spark):
         assert [float(v) for v in lines[r["image_id"], 1, r["ord"]][1:]] == pytest.approx(want, abs=2e-5)
         areas.setdefault(r["image_id"], []).append(hypot(bx - ax, by - ay) * 4.8)
     assert areas
-    rows = QUERIES["coco_annotations_whole"](spark, sf).collect()
+    rows = QUERIES["coco_annotations"](spark, sf).collect()
     assert sorted(r["id"] for r in rows) == list(range(1, len(rows) + 1)) and len(rows) == len(lines)
     kinds = {int(v[0]) + 1 for (_, part, _), v in lines.items() if part == 1}
     got = {}
