@@ -2,7 +2,8 @@
 
 Test items are cut into windows of ten consecutive words (shorter items are one window). Windows of one length form a
 machine: a shift table over blocks of words skips positions where no window can end, buckets by the last block pick the
-windows to compare, and a direct comparison confirms. Items are searched in blocks of bounded size, each over all documents.
+windows to compare, and a direct comparison confirms. Items are searched in blocks of bounded size, one after another, each
+over all documents: a benchmark of up to ``BLOCK_BYTES`` takes one scan.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def item_windows(data: bytes, n: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def _machines(items: list[tuple[str, bytes]], n: int):
+def _machines(items: list[tuple[str | None, bytes]], n: int):
     """The machines of one block of items, and the item ids of each window's number."""
     numbers: dict[tuple, int] = {}
     owners: list[set[str]] = []
@@ -77,7 +78,8 @@ def _machines(items: list[tuple[str, bytes]], n: int):
             k = numbers.setdefault(w, len(numbers))
             if k == len(owners):
                 owners.append(set())
-            owners[k].add(item)
+            if item is not None:
+                owners[k].add(item)
     by_length: dict[int, dict] = defaultdict(dict)
     for w, k in numbers.items():
         by_length[len(w)][w] = k
@@ -105,44 +107,48 @@ def joined_ranges(ranges) -> list[tuple[int, int]]:
 
 
 def _item_blocks(benchmark: DataFrame, block_bytes: int):
-    """Broadcast lists of (item id, text), each of about ``block_bytes`` at most."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
+    """Broadcast lists of (item id, text), each of about ``block_bytes`` at most; the driver holds one at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
-        yield items.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in block.collect()])
+        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
+        yield k, n_blocks, items.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in block.collect()])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, doc_id, n_words, hits array<struct<start, end>>, items array<string>) of every row of ``docs``.
 
-    ``docs`` has (doc_id, text), ``benchmark`` (item_id, text). Null texts have no words; items without an id or words are
-    never found; repeated item ids count once. An empty benchmark hits nothing. Hits are word ranges, end exclusive.
+    ``docs`` has (doc_id, text), ``benchmark`` (item_id, text). Null and empty texts have no words; items without words are
+    never found; those without an id hit like others but are named in no list; repeated item ids count once. An empty
+    benchmark hits nothing, an empty ``docs`` gives no rows; repeated documents give a row each; texts are read whole,
+    whatever their length; other columns of both tables are ignored. Hits are word ranges, end exclusive.
     """
     rows = with_row_ids(docs)
-    blocks = list(_item_blocks(benchmark, block_bytes))
-    if len(blocks) > 1:
-        rows = write_table(rows, "documents")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     ddl = "row long, doc_id long, n_words long, hits array<struct<start:bigint,end:bigint>>, items array<string>"
     parts = []
-    for shared in blocks:
+    for k, n_blocks, shared in _item_blocks(benchmark, block_bytes):
+        if n_blocks > 1 and not k:
+            rows = write_table(rows, "documents")
 
-        def make(shared=shared):
+        def make(shared=shared, every=not k):
             machines, owners = _machines(shared.value, window)
 
             def run(it):
                 for row, doc_id, data in it:
                     words = words_of(data)
                     hits, ids = _hits(words, machines, owners)
-                    yield row, doc_id, len(words), [{"start": a, "end": b} for a, b in hits], sorted(ids)
+                    if every or hits:
+                        yield row, doc_id, len(words), [{"start": a, "end": b} for a, b in hits], sorted(ids)
 
             return run
 
-        parts.append(map_rows(rows.select("row", F.col("doc_id").cast("long"), "text"), make, schema, ddl, 1024))
-    if len(blocks) == 1:
-        return parts[0]
+        found = map_rows(rows.select("row", F.col("doc_id").cast("long"), "text"), make, schema, ddl, 1024)
+        if n_blocks == 1:
+            return found
+        parts.append(write_table(found, "hits"))  # the first has all rows, the others those with hits
+        shared.destroy()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -169,10 +175,13 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no window of any item."""
+    """The rows of ``docs``, with all their columns, that hold no window of any item, see :func:`contamination`."""
     small_batches(docs.sparkSession)
-    for shared in _item_blocks(benchmark, block_bytes):
+    for k, n_blocks, shared in _item_blocks(benchmark, block_bytes):
         docs = docs.where(~_hit_column(shared, window))
+        if n_blocks > 1 and k < n_blocks - 1:
+            docs = write_table(docs, "clean")
+            shared.destroy()
     return docs
 
 
