@@ -7,7 +7,8 @@ repaired sequence is rendered turn by turn.
 
 Turns are dealt by ranges of (conv_id, turn), so a conversation of any length is split over tasks: each task gives the cost
 of its run of a conversation from every entry state to every exit state, the driver chains the runs that a range border
-cuts (two a task at most), and the tasks then trace back between known states.
+cuts (two a task at most), and the tasks then trace back between known states. Python sees roles only; texts meet their
+repaired turns in a join.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, map_rows, write_table
@@ -27,6 +28,7 @@ NAMES = ("", "system", "user", "assistant")
 LEGAL = {BEGIN: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 1, 2, 3
 FAR = 1 << 40
+END_MARK = "<|im_end|>\n"
 
 
 def _paths() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -116,28 +118,37 @@ def _role(name: str | None) -> int:
     return ROLES.get((name or "").strip().lower(), 0)
 
 
-def rendered(role: int, text: str, action: str) -> str:
+def escaped(text: Column) -> Column:
+    """Text in which no turn mark can be read: a space parts the bar of ``<|im_start|>`` and ``<|im_end|>``."""
+    return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<| $1 |>")
+
+
+def rendered(role: Column, text: Column, action: Column) -> Column:
     """One turn's markup; a merged turn goes on after a blank line. The end mark of a turn stands before the next one."""
-    return f"\n\n{text}" if action == "merge" else f"<|im_start|>{NAMES[role]}\n{text}"
+    opened = F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), escaped(text))
+    return F.when(action == "merge", F.concat(F.lit("\n\n"), escaped(text))).when(action == "insert", F.concat(opened, F.lit(END_MARK))).otherwise(opened)
 
 
 def repaired(turns: DataFrame) -> DataFrame:
     """(conv_id, position, turn, role, action, text, rendered) of the repaired turns of ``turns`` (conv_id, turn, role, text).
 
-    A conversation's rendering is its rows' ``rendered`` in order of position (from 0). Turns go by turn (null first),
-    then role and text; exact repeats of a row are one turn; a null text is empty; unknown or null roles are relabelled; a
-    null conv_id is a conversation of its own. Inserted turns have a null ``turn`` and no text. Empty tables give no rows.
+    A conversation's rendering is its rows' ``rendered`` in order of position (from 0). Turns go by turn (null first), then
+    role and text; every row is a turn, repeated ones too; a null text is empty and texts of any length stay whole, but turn
+    marks inside them are parted in ``rendered``; unknown or null roles are relabelled; a null conv_id is a conversation of
+    its own. Inserted turns have a null ``turn`` and no text. Other columns are ignored; empty tables give no rows.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    rows = rows.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    rows = write_table(rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "*"), "turns")
-    dealt = rows.repartition("part").sortWithinPartitions("part", "place").select("part", "conv_id", "place", "turn", "role", "text")
+    order = ("conv_id", "turn", "role", "text")
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    copy = F.monotonically_increasing_id()  # repeats of one row may fill several ranges
+    rows = rows.withColumn("copy", copy).repartitionByRange(*order, "copy").sortWithinPartitions(*order)
+    rows = write_table(rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), *order), "turns")
+    dealt = rows.select("part", "conv_id", "place", "role").repartition("part").sortWithinPartitions("part", "place")
 
     def edges(it):
-        for (part,), group in groups_of(it, 1):
+        for (part,), group in groups_of(((r[0], r[1], _role(r[3])) for r in it), 1):
             first, last = group[0][1], group[-1][1]
             for conv in dict.fromkeys((first, last)):
-                roles = [_role(r[4]) for r in group if r[1] == conv]
+                roles = [r[2] for r in group if r[1] == conv]
                 yield part, conv, [c for s in range(4) for c in forward(roles, s)[-1]]
 
     schema = pa.schema([("part", pa.int32()), ("conv_id", pa.int64()), ("costs", pa.list_(pa.int64()))])
@@ -151,15 +162,13 @@ def repaired(turns: DataFrame) -> DataFrame:
                 known[part, conv] = (*states, k == len(runs) - 1)
     spark = turns.sparkSession
 
-    def rows_of_run(part, conv, group, states):
-        roles = [_role(r[4]) for r in group]
+    def rows_of_run(group, states):
+        roles = [_role(r[3]) for r in group]
         entry, leave, last = states or (BEGIN, best_end(forward(roles, BEGIN)[-1]), True)
         for r, (role, action, before) in zip(group, trace(roles, entry, leave), strict=True):
-            for extra in before:
-                yield conv, None, NAMES[extra], "insert", "", rendered(extra, "", "insert") + "<|im_end|>\n"
-            yield conv, r[3], NAMES[role], action, r[5], rendered(role, r[5], action)
-        for extra in ENDINGS[leave] if last else ():
-            yield conv, None, NAMES[extra], "insert", "", rendered(extra, "", "insert") + "<|im_end|>\n"
+            yield from ((None, NAMES[extra], "insert") for extra in before)
+            yield r[2], NAMES[role], action
+        yield from ((None, NAMES[extra], "insert") for extra in (ENDINGS[leave] if last else ()))
 
     offsets: dict = {}
     if known:
@@ -168,7 +177,7 @@ def repaired(turns: DataFrame) -> DataFrame:
         def sizes(it):
             for (part, conv), group in groups_of(it, 2):
                 if (part, conv) in cut.value:
-                    yield part, conv, sum(1 for _ in rows_of_run(part, conv, group, cut.value[part, conv]))
+                    yield part, conv, sum(1 for _ in rows_of_run(group, cut.value[part, conv]))
 
         so_far: dict = {}
         counted = map_rows(dealt, lambda: sizes, pa.schema([("part", pa.int32()), ("conv_id", pa.int64()), ("n", pa.int64())]), "part int, conv_id long, n long")
@@ -181,11 +190,14 @@ def repaired(turns: DataFrame) -> DataFrame:
         states, starts = shared.value
         for (part, conv), group in groups_of(it, 2):
             start = starts.get((part, conv), 0)
-            for k, row in enumerate(rows_of_run(part, conv, group, states.get((part, conv)))):
-                yield (row[0], start + k, *row[1:])
+            for k, (place, role, action) in enumerate(rows_of_run(group, states.get((part, conv)))):
+                yield conv, start + k, place, role, action
 
-    fields = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("text", pa.string()), ("rendered", pa.string())])
-    return map_rows(dealt, lambda: out, fields, "conv_id long, position long, turn long, role string, action string, text string, rendered string", 1024)
+    fields = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("place", pa.int64()), ("role", pa.string()), ("action", pa.string())])
+    fixed = write_table(map_rows(dealt, lambda: out, fields, "conv_id long, position long, place long, role string, action string"), "repairs")
+    kept = fixed.where("place is not null").join(rows.select("place", "turn", "text"), "place")
+    every = kept.unionByName(fixed.where("place is null").withColumns({"turn": F.lit(None).cast("long"), "text": F.lit("")}))
+    return every.select("conv_id", "position", "turn", "role", "action", "text", rendered(F.col("role"), F.col("text"), F.col("action")).alias("rendered"))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -195,7 +207,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     joined = F.aggregate(
         "parts",
         F.lit(""),
-        lambda t, p: F.concat(t, F.when((t != "") & (p["action"] != "merge") & ~t.endswith("<|im_end|>\n"), F.lit("<|im_end|>\n")).otherwise(F.lit("")), p["rendered"]),
-        lambda t: F.when(t.endswith("<|im_end|>\n"), t).otherwise(F.concat(t, F.lit("<|im_end|>\n"))),
+        lambda t, p: F.concat(t, F.when((t != "") & (p["action"] != "merge") & ~t.endswith(END_MARK), F.lit(END_MARK)).otherwise(F.lit("")), p["rendered"]),
+        lambda t: F.when(t.endswith(END_MARK), t).otherwise(F.concat(t, F.lit(END_MARK))),
     )
     return rows.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", joined.alias("text"))

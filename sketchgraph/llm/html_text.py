@@ -12,6 +12,7 @@ import functools
 import html
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from math import exp, log
@@ -26,8 +27,11 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed svg math select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is no markup and no text of the page.
+RAW = frozenset("script style textarea title iframe noembed select".split())
+#: Elements whose own markup is not the page's: their text stays in the block around them.
+FOREIGN = frozenset(("math", "svg"))
+INLINE = frozenset("math noscript svg template a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Open elements that an opening tag ends, and the elements beyond which it ends none.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
@@ -46,10 +50,50 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that looking for one never walks the stack."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#root"]
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.blocks, self.scopes = [0], [0]  # places of elements that are not inline, and of those that end the search for a paragraph
+
+    def push(self, node: int, tag: str) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.where[tag].append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+        if tag in SCOPES:
+            self.scopes.append(place)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all within it."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.where[tag].pop()
+            for places in (self.blocks, self.scopes):
+                if places[-1] >= len(self.nodes):
+                    places.pop()
+
+    def last(self, tag: str) -> int:
+        return self.where[tag][-1] if self.where[tag] else 0
+
+    def first_after(self, tag: str, place: int) -> int:
+        places = self.where[tag]
+        k = bisect_right(places, place)
+        return places[k] if k < len(places) else 0
+
+
 def parse(page: str) -> list[Node]:
-    """The page's elements and runs of text in page order; node 0 is the root. Never fails: what is no markup is text."""
+    """The page's elements and runs of text in page order; node 0 is the root. Never fails: what is no markup is text.
+
+    The work grows with the page alone, however deep or ill-nested its elements are.
+    """
     nodes = [Node("#root", -1)]
-    stack, block = [0], 0
+    stack, block, foreign = _Open(), 0, ""
 
     def add(node: Node) -> int:
         nodes.append(node)
@@ -58,9 +102,9 @@ def parse(page: str) -> list[Node]:
 
     def text(run: str) -> None:
         if run and (run.strip() or len(nodes) > 1 and nodes[-1].tag == "#" and nodes[-1].block == block):
-            add(Node("#", stack[-1], text=html.unescape(run), block=block))
+            add(Node("#", stack.nodes[-1], text=html.unescape(run), block=block))
         elif run:
-            add(Node("#", stack[-1], text=" ", block=block))
+            add(Node("#", stack.nodes[-1], text=" ", block=block))
 
     at = 0
     while (m := MARKUP.search(page, at)) is not None:
@@ -71,48 +115,54 @@ def parse(page: str) -> list[Node]:
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
-        if m[1] or m[4]:
-            place = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
-            if tag in INLINE and place and any(nodes[stack[k]].tag not in INLINE for k in range(place + 1, len(stack))):
+        closing = m[1] or m[4]
+        if foreign and not (closing and tag == foreign):
+            if tag in RAW and tag != "title" and not closing:
+                at = _end_of(tag, page, at)
+                continue
+            if tag not in CLOSES_P:  # such tags lead out of drawings and formulas
+                continue
+        if closing:
+            place = stack.last(tag)
+            if tag in INLINE and stack.blocks[-1] > place:
                 place = 0
             if tag not in INLINE:
                 block += 1
             if place:
-                del stack[place:]
+                stack.cut(place)
+            foreign = foreign if foreign and stack.last(foreign) else ""
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == "p":
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in SCOPES:
-                    break
+            foreign = ""
+            if stack.last("p") > stack.scopes[-1]:
+                stack.cut(stack.last("p"))
         if tag in ENDS:
             ended, beyond = ENDS[tag]
-            cut = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in beyond:
-                    break
-                if nodes[stack[k]].tag in ended:
-                    cut = k
+            border = max((stack.last(t) for t in beyond), default=0)
+            cut = min((k for k in (stack.first_after(t, border) for t in ended) if k), default=0)
             if cut:
-                del stack[cut:]
+                stack.cut(cut)
         attributes = m[3] or m[6] or ""
         if tag not in INLINE:
             block += 1
         elif tag == "br":
             text(" ")
             continue
-        node = add(Node(tag, stack[-1], attributes))
+        node = add(Node(tag, stack.nodes[-1], attributes))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            at = _end_of(tag, page, at)
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append(node)
+            stack.push(node, tag)
+            foreign = tag if tag in FOREIGN else foreign
     text(page[at:])
     return nodes
 
 
+def _end_of(tag: str, page: str, at: int) -> int:
+    end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+    return end.end() if end else len(page)
+
+
 #: Parts of class, id and role values that hint at a part of a page, by part.
 HINTS = {
     "chrome": ("nav", "menu", "breadcrumb", "header", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "skip", "logo", "copyright", "legal", "contentinfo", "banner"),
@@ -400,8 +450,9 @@ def trained(n: int = 1500, seed: int = 5) -> Model:
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    Null or empty html gives an empty text; html without markup is one block. Repeated rows give a row each, other columns
-    are ignored, an empty table gives no rows. n_chars counts code points.
+    Null or empty html gives an empty text; html without markup is one block; pages of any length are read whole. Repeated
+    rows give a row each, a null page_id or url stays null, other columns are ignored, an empty table gives no rows. n_chars
+    counts code points.
     """
 
     shared = pages.sparkSession.sparkContext.broadcast(trained())
