@@ -110,6 +110,17 @@ def edges_of(poly: Column) -> Column:
     return F.zip_with(poly, F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def flat(points: Column) -> Column:
+    """x and y of points in turn, as Python's numeric code takes them."""
+    return F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+
+
+def segments_cross(e: Column, f: Column) -> Column:
+    """Whether two edges cross, each having an end on either side of the other."""
+    side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
+    return (side(e, f["a"]) * side(e, f["b"]) < 0) & (side(f, e["a"]) * side(f, e["b"]) < 0)
+
+
 def polygon_area(poly: Column) -> Column:
     """Shoelace area; 0 with fewer than three corners."""
     twice = F.aggregate(edges_of(poly), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["a"]["y"] * e["b"]["x"])

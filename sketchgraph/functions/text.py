@@ -101,7 +101,41 @@ def truncated(c: Column, most: int, mark: str = "...") -> Column:
     return F.when(F.char_length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
 
 
+#: Names that a responder's provider goes by.
+PROVIDERS = {
+    "anthropic": "anthropic",
+    "claude": "anthropic",
+    "openai": "openai",
+    "gpt": "openai",
+    "openai_compatible": "openai_compatible",
+    "openai-compatible": "openai_compatible",
+    "compat": "openai_compatible",
+    "vllm": "openai_compatible",
+    "lmstudio": "openai_compatible",
+    "llamacpp": "openai_compatible",
+    "openrouter": "openai_compatible",
+    "gemini": "gemini",
+    "google": "gemini",
+    "ollama": "ollama",
+    "hf": "hf",
+    "huggingface": "hf",
+    "transformers": "hf",
+    "mock": "mock",
+}
+#: Addresses of providers that run at home, where a specification names none.
+ADDRESSES = {
+    "ollama": "http://localhost:11434",
+    "vllm": "http://localhost:8000/v1",
+    "lmstudio": "http://localhost:1234/v1",
+    "llamacpp": "http://localhost:8080/v1",
+    "openrouter": "https://openrouter.ai/api/v1",
+}
+
+
 def model_spec(spec: Column) -> Column:
-    """``provider:model[@url]`` as a struct; null without a known shape."""
-    found = r"^([a-z0-9_-]+):([^@]+)(?:@(.+))?$"
-    return F.when(spec.rlike(found), F.struct(*(F.nullif(F.regexp_extract(spec, found, k), F.lit("")).alias(n) for k, n in ((1, "provider"), (2, "model"), (3, "base_url")))))
+    """``provider:model[@url]`` as a struct, the provider by its alias and without an address its own; null if it is none."""
+    found = r"^([^:@]+):([^@]+)(?:@(.+))?$"
+    name = F.lower(F.regexp_extract(spec, found, 1))
+    address = F.coalesce(F.nullif(F.regexp_extract(spec, found, 3), F.lit("")), lookup(ADDRESSES, name))
+    provider = lookup(PROVIDERS, name)
+    return F.when(spec.rlike(found) & provider.isNotNull(), F.struct(provider.alias("provider"), F.regexp_extract(spec, found, 2).alias("model"), address.alias("base_url")))

@@ -18,9 +18,14 @@ def reading_order(df: DataFrame, prefix: str, x: str = "bbox.x", y: str = "bbox.
     return df.select("image_id", F.col("id").alias("old"), F.concat(F.lit(prefix), F.row_number().over(order).cast("string")).alias("new"))
 
 
+def connector_box() -> Column:
+    """The box of a connector's path, or of its ends where it has none."""
+    return F.when(F.size("path") > 0, g.box_of_points(F.col("path"))).otherwise(g.box_of_points(F.transform("endpoints", lambda e: e["point"])))
+
+
 def renumbered(scene: Scene) -> Scene:
     """Compact ids S1.., T1.., C1.. in reading order; every reference follows, unknown ones stay."""
-    boxed = scene.connections.withColumn("box", F.when(F.size("path") > 0, g.box_of_points(F.col("path"))).otherwise(g.box_of_points(F.transform("endpoints", lambda e: e["point"]))))
+    boxed = scene.connections.withColumn("box", connector_box())
     names = reading_order(scene.shapes, "S").unionByName(reading_order(scene.texts, "T")).unionByName(reading_order(boxed, "C", "box.x", "box.y"))
     maps = names.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("names"))
     one = lambda c: F.coalesce(F.try_element_at("names", c), c)

@@ -16,68 +16,58 @@ from sketchgraph.model import Scene
 FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL)
 #: Model answers are untrusted: every leaf is read as a string.
 ANSWER = "is_drawing string, summary string, shapes array<struct<id:string,type:string,bbox:array<double>,parent:string,crossed_out:string>>, texts array<struct<id:string,text:string,bbox:array<double>,inside:string,near:string,crossed_out:string>>, connections array<struct<id:string,type:string,heavy:string,ends:array<string>,path:array<array<double>>>>"
-CORRECTIONS = "remove_shapes array<string>, remove_texts array<string>, remove_connections array<string>, retype_shapes map<string,string>, add_shapes array<struct<type:string,bbox:array<double>>>, text_corrections map<string,string>"
+CORRECTIONS = "remove_shapes array<string>, remove_texts array<string>, remove_connections array<string>, retype_shapes map<string,string>, add_shapes array<struct<type:string,bbox:array<double>>>, text_corrections map<string,string>, add_connections array<struct<type:string,ends:array<string>>>"
 READ_CONFIDENCE, PATH_POINTS = 0.6, 6
 ADD_IOU, FIXED_CONFIDENCE = 0.5, 0.8
 
 
-def _tokens(text: str):
-    """(place, character) of structural characters, strings skipped."""
-    quoted, escaped = False, False
-    for i, c in enumerate(text):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), (c != '"' or escaped)
-        elif c == '"':
-            quoted = True
-        else:
-            yield i, c
+STRING = r'"(?:[^"\\]|\\.)*"?'
+COMMENTS = re.compile(STRING + r"|//[^\n]*", re.DOTALL)
+MARKS = re.compile(STRING + r"|[{}\[\]]", re.DOTALL)
+OPENING, CLOSING = re.compile(r"[{\[]"), {"{": "}", "[": "]"}
 
 
 def without_comments(text: str) -> str:
     """Text less ``//`` comments that stand outside strings."""
-    out, end, last = [], 0, (-2, "")
-    for i, c in _tokens(text):
-        if c == "/" and last == (i - 1, "/") and i - 1 >= end:
-            stop = text.find("\n", i)
-            stop = len(text) if stop < 0 else stop
-            out.append(text[end : i - 1])
-            end = stop
-        last = (i, c)
-    return "".join([*out, text[end:]])
+    return COMMENTS.sub(lambda m: "" if m[0].startswith("//") else m[0], text)
 
 
 def balanced_spans(text: str):
-    """Outermost balanced objects and arrays, in order."""
-    depth: list[str] = []
-    start = 0
-    for i, c in _tokens(text):
-        if c in "{[":
-            if not depth:
-                start = i
-            depth.append("}" if c == "{" else "]")
-        elif c in "}]" and depth:
-            if depth.pop() != c:
-                depth = []
-            elif not depth:
-                yield text[start : i + 1]
+    """Outermost balanced objects and arrays, in order, up to the first that is cut off or closed wrongly.
+
+    Strings count within a value only: a quotation mark in the prose around it begins none.
+    """
+    at = 0
+    while (start := OPENING.search(text, at)) is not None:
+        open_: list[str] = []
+        for m in MARKS.finditer(text, start.start()):
+            if m[0] in CLOSING:
+                open_.append(CLOSING[m[0]])
+            elif m[0] in ("}", "]") and open_.pop() != m[0]:
+                return
+            if not open_:
+                break
+        if open_:
+            return
+        yield text[start.start() : m.end()]
+        at = m.end()
 
 
 def extracted(text: str | None) -> str | None:
-    """The first JSON object or array of a model's answer as strict JSON; None if there is none or it is cut off.
+    """The first JSON value of a model's answer as strict JSON; None if there is none or it is cut off.
 
     Fenced blocks come before the whole answer; each is tried as it is, then by its balanced spans; each of those as it is,
     without comments, and without trailing commas.
     """
     for block in [*FENCE.findall(text or ""), text or ""]:
-        for part in [block.strip(), *balanced_spans(block)]:
-            bare = without_comments(part)
-            for attempt in (part, bare, re.sub(r",(\s*[}\]])", r"\1", bare)):
+        block = block.strip()
+        for part, repairs in [(block, 1), *((s, 3) for s in balanced_spans(block))]:
+            bare = without_comments(part) if repairs > 1 else part
+            for attempt in (part, bare, re.sub(r",(\s*[}\]])", r"\1", bare))[:repairs]:
                 try:
-                    value = json.loads(attempt)
+                    return json.dumps(json.loads(attempt), ensure_ascii=False, separators=(",", ":"))
                 except ValueError:
                     continue
-                if isinstance(value, (dict, list)):
-                    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
     return None
 
 
@@ -89,15 +79,15 @@ def _repaired(column: Column) -> Column:
     return repair(column)
 
 
-def strict_json(text: Column) -> Column:
-    """Strict JSON from an answer: what parses as it is stays in the JVM, only the rest is repaired."""
-    whole = F.get_json_object(text, "$").isNotNull() & F.try_parse_json(text).isNotNull()
-    return F.when(whole & text.rlike(r"^\s*[{\[]"), text).otherwise(_repaired(text))
+def strict_json(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with strict JSON from the answers in ``column``: only those that do not parse as they are go to Python."""
+    good = F.coalesce(F.try_parse_json(column).isNotNull() & F.col(column).rlike(r"^\s*[{\[]"), F.lit(False))
+    return rows.where(good).withColumn(out, F.col(column)).unionByName(rows.where(~good).withColumn(out, _repaired(F.col(column))))
 
 
 def answers(rows: DataFrame, column: str = "answer") -> DataFrame:
     """``rows`` with ``read``, the answer's drawing with every leaf a string (null if unusable)."""
-    return rows.withColumn("read", F.from_json(strict_json(F.col(column)), ANSWER))
+    return strict_json(rows, column, "_json").withColumn("read", F.from_json("_json", ANSWER)).drop("_json")
 
 
 def read_shapes(rows: DataFrame, layout: Column | None = None, sent: Column | None = None) -> DataFrame:
@@ -176,6 +166,40 @@ def corrected_texts(texts: DataFrame, answers_: DataFrame) -> DataFrame:
     return held.where(~gone).select(*(c for c in texts.columns if c != "text"), F.when(fixed, new).otherwise(F.col("text")).alias("text"), F.when(fixed, "fixed").otherwise("kept").alias("change"))
 
 
+def corrected_connections(connections: DataFrame, shapes: DataFrame, texts: DataFrame, answers_: DataFrame) -> DataFrame:
+    """Connections after a verifier's removals and additions, with ``change``; ``shapes`` and ``texts`` are the corrected ones.
+
+    An added connection needs two elements that are there; ids go on from the highest number, removed ones included.
+    """
+    from sketchgraph.operators.fusion import added_connections
+
+    held = connections.join(answers_.select("image_id", "fix"), "image_id", "left")
+    gone = F.coalesce(F.array_contains(F.transform("fix.remove_connections", t.reference), F.col("id")), F.lit(False))
+    kept = held.where(~gone).select(*connections.columns, F.lit("kept").alias("change"))
+    wanted = answers_.select("image_id", F.posexplode("fix.add_connections").alias("n", "r")).where("r is not null")
+    ends = F.filter(F.transform(F.coalesce("r.ends", F.array().cast("array<string>")), t.reference), lambda e: e.isNotNull())
+    wanted = wanted.select("image_id", "n", F.coalesce("r.type", F.lit("line")).alias("type"), F.lit(False).alias("heavy"), ends.alias("ends"), F.array().cast(g.POINTS).alias("path"))
+    added = added_connections(connections, wanted, shapes, texts, "verifier", False)
+    return kept.unionByName(added.withColumn("change", F.lit("added")), allowMissingColumns=True)
+
+
+def corrected(scene: Scene, answers_: DataFrame) -> Scene:
+    """A scene after a verifier's answers (image_id, fix): removals, then dangling references, then all other corrections."""
+    from sketchgraph.operators.identity import without_dangling
+
+    gone = lambda df, what: df.join(answers_.select("image_id", F.explode(F.transform(f"fix.{what}", t.reference)).alias("id")).distinct(), ["image_id", "id"], "left_anti")
+    left = without_dangling(scene.with_(shapes=gone(scene.shapes, "remove_shapes"), texts=gone(scene.texts, "remove_texts"), connections=gone(scene.connections, "remove_connections")))
+    # ids are counted over the scene as it was, so no removed id comes back
+    shapes = corrected_shapes(scene.shapes, scene.images, answers_).drop("change", "old_type")
+    if "parent_id" in left.shapes.columns:
+        shapes = shapes.drop("parent_id").join(left.shapes.select("image_id", "id", "parent_id"), ["image_id", "id"], "left")
+    texts = corrected_texts(left.texts, answers_).drop("change")
+    connections = corrected_connections(scene.connections, shapes, texts, answers_).drop("change")
+    ends = left.connections.select("image_id", "id", F.col("endpoints").alias("cleared"))
+    connections = connections.join(ends, ["image_id", "id"], "left").withColumn("endpoints", F.coalesce("cleared", "endpoints")).drop("cleared")
+    return scene.with_(shapes=shapes, texts=texts, connections=connections)
+
+
 def targets(scene: Scene) -> DataFrame:
     """(image_id, target): each drawing as the compact JSON that a model is trained to answer."""
     w, h = F.col("width"), F.col("height")

@@ -6,11 +6,13 @@ the element that comes first in its table (``ord``), lengths and areas being com
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchgraph.functions import geometry as g
 from sketchgraph.functions import text as t
+from sketchgraph.functions.raster import overlap
 from sketchgraph.model import Scene
 from sketchgraph.storage import write_table
 
@@ -229,8 +231,8 @@ def with_labels(scene: Scene) -> Scene:
 def shape_pairs(scene: Scene, parents_: DataFrame | None = None) -> DataFrame:
     """(image_id, a, b, a_ord, b_ord, relation): overlapping or touching shapes of which neither holds the other.
 
-    Overlap is the shared area over the smaller one: that of the boxes, where both polygons are their boxes, else estimated
-    on a grid of 32 x 32 points over the shared box. Touching outlines are compared corner to side, both ways.
+    Overlap is the exact shared area over the smaller one; only pairs that are not both boxes go to Python. Outlines touch if
+    a corner of one is near a side of the other, or if they cross.
     """
     own = parents(scene.shapes) if parents_ is None else parents_
     closure = ancestors(own).select("image_id", "id", "ancestor")
@@ -240,22 +242,23 @@ def shape_pairs(scene: Scene, parents_: DataFrame | None = None) -> DataFrame:
     pairs = a.join(b, "image_id").join(scene.images.select("image_id", "stroke_width"), "image_id").where("a_ord < b_ord")
     pad = OVERLAP_PAD * F.col("stroke_width")
     pairs = pairs.where(g.intersection(g.expand(F.col("a_bbox"), pad), g.expand(F.col("b_bbox"), pad)) > 0).join(both, ["image_id", "a_id", "b_id"], "left_anti")
-    share = _shared_area(F.col("a_polygon"), F.col("b_polygon"), F.col("a_bbox"), F.col("b_bbox")) / F.least("a_area", "b_area")
+    boxes, others = pairs.where("a_boxy and b_boxy"), pairs.where("not (a_boxy and b_boxy)")
+    shared = boxes.withColumn("shared", g.intersection(F.col("a_bbox"), F.col("b_bbox"))).unionByName(others.withColumn("shared", _polygon_overlap()(g.flat(F.col("a_polygon")), g.flat(F.col("b_polygon")))))
+    share = F.col("shared") / F.least("a_area", "b_area")
     reach = TOUCH_STROKES * F.col("stroke_width") + TOUCH_MORE
     corner = lambda p, q: g.let(g.edges_of(F.col(q)), lambda e: F.array_min(F.transform(F.col(p), lambda c: g.distance_to(e, c["x"], c["y"]))))
-    touch = F.least(corner("a_polygon", "b_polygon"), corner("b_polygon", "a_polygon")) <= reach
+    meet = F.exists(g.edges_of(F.col("a_polygon")), lambda e: F.exists(g.edges_of(F.col("b_polygon")), lambda f: g.segments_cross(e, f)))
+    touch = (F.least(corner("a_polygon", "b_polygon"), corner("b_polygon", "a_polygon")) <= reach) | (~(F.col("a_boxy") & F.col("b_boxy")) & meet)
     relation = F.when(share > OVERLAP_SHARE, "overlaps").when(touch, "touches")
-    return pairs.withColumn("relation", relation).where("relation is not null").select("image_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_ord", "b_ord", "relation")
+    return shared.withColumn("relation", relation).where("relation is not null").select("image_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_ord", "b_ord", "relation")
 
 
-def _shared_area(p: Column, q: Column, a: Column, b: Column) -> Column:
-    box = lambda poly, of: (F.size(poly) == 4) & (F.abs(g.polygon_area(poly) - g.box_area(of)) <= 1e-9 * g.box_area(of))
-    x0, y0 = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
-    w, h = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x0, F.least(a["y"] + a["h"], b["y"] + b["h"]) - y0
-    steps = F.sequence(F.lit(0), F.lit(32 * 32 - 1))
-    at = lambda k: (x0 + (k % 32 + 0.5) * w / 32, y0 + (F.floor(k / 32) + 0.5) * h / 32)
-    hits = g.let(F.struct(g.edges_of(p).alias("p"), g.edges_of(q).alias("q")), lambda e: F.size(F.filter(steps, lambda k: g.within(e["p"], *at(k)) & g.within(e["q"], *at(k)))))
-    return F.when((w <= 0) | (h <= 0), 0.0).when(box(p, a) & box(q, b), w * h).otherwise(hits * w * h / (32 * 32))
+def _polygon_overlap():
+    @F.pandas_udf("double")
+    def area(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([overlap(p.reshape(-1, 2), q.reshape(-1, 2)) for p, q in zip(a, b, strict=True)], dtype=float)
+
+    return area
 
 
 def relations(scene: Scene, pairs: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from sketchgraph.functions import geometry as g
 from sketchgraph.functions import text as t
 from sketchgraph.operators import evaluate, export, fusion, identity, model_json, topology
-from sketchgraph.plans.oracle import ORACLE_SQL  # noqa: F401
+from sketchgraph.plans import reports
+from sketchgraph.plans.oracle import ORACLE_SQL as SCENE_SQL
 from sketchgraph.sources.scenes import order_scenes, predicted
 
-QUERIES = {}
+QUERIES = dict(reports.QUERIES)
+ORACLE_SQL = SCENE_SQL | reports.ORACLE_SQL
 
 
 def query(f):
@@ -141,12 +143,6 @@ def shape_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.shape_pairs(order_scenes(spark, sf_dir)).select("image_id", "a", "b", "relation")
 
 
-@query
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relation counts of each drawing by type."""
-    return topology.updated(order_scenes(spark, sf_dir)).relations.groupBy("image_id", "type").agg(F.count("*").alias("n"))
-
-
 @query
 def crossed_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.crossed_out(order_scenes(spark, sf_dir).shapes).where("crossed_out").select("image_id", "id")
@@ -195,8 +191,9 @@ def fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assignment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = order_scenes(spark, sf_dir).shapes
-    return evaluate.matched(s, predicted(s)).select("image_id", "t_id", "p_id", F.round("score", 4).alias("score"))
+    scene = order_scenes(spark, sf_dir)
+    s = scene.shapes
+    return evaluate.matched(s, predicted(s), images=scene.images).select("image_id", "t_id", "p_id", F.round("score", 4).alias("score"))
 
 
 @query
@@ -241,12 +238,6 @@ def ocr_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.ocr_rows(s.texts, s.images)
 
 
-@query
-def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = order_scenes(spark, sf_dir)
-    return export.chat_samples(model_json.targets(s), "You read drawings.", "Describe it as JSON.").select("id", F.size("messages").alias("n_messages"), F.to_json("messages").alias("messages"))
-
-
 @query
 def model_graph_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings written as a model's target and read back as untrusted answers."""

@@ -88,7 +88,7 @@ def test_words(spark):
     kinds = spark.createDataFrame([("Oval", "ellipse"), ("rounded-rect", "rounded_rectangle"), (None, "unknown"), ("star", "unknown"), (" square ", "rectangle")], "v string, k string")
     assert all(r[0] == r[1] for r in kinds.select("k", t.shape_type(F.col("v"))).collect())
     specs = spark.createDataFrame([("ollama:qwen",), ("openai:gpt@http://x:1/v1",), ("nonsense",)], "s string").select(t.model_spec(F.col("s")).alias("m")).collect()
-    assert [tuple(r["m"]) if r["m"] else None for r in specs] == [("ollama", "qwen", None), ("openai", "gpt", "http://x:1/v1"), None]
+    assert [tuple(r["m"]) if r["m"] else None for r in specs] == [("ollama", "qwen", "http://localhost:11434"), ("openai", "gpt", "http://x:1/v1"), None]
 
 
 def test_topology(scene):
@@ -274,3 +274,63 @@ def test_whole_detector_export_has_connectors(spark):
         if r["category_id"] in kinds:
             got.setdefault(r["image_id"], []).append(r["area"])
     assert {k: pytest.approx(sorted(v), abs=0.06) for k, v in areas.items()} == {k: sorted(v) for k, v in got.items()}
+
+
+def test_detections_merge_in_their_order(spark):
+    """A detection updates the shape it overlaps most, new ones included, or becomes a shape."""
+    from sketchgraph.operators import detections
+
+    b = "bbox struct<x:double,y:double,w:double,h:double>"
+    p = "polygon array<struct<x:double,y:double>>"
+    shapes = spark.createDataFrame([(1, "S1", 1, "region", (0.0, 0.0, 100.0, 100.0), [], 0.9, ["cv"]), (1, "S7", 2, "circle", (300.0, 0.0, 50.0, 50.0), [], 0.8, ["cv"])], f"image_id long, id string, ord int, type string, {b}, {p}, confidence double, source array<string>")
+    rows = [(1, 1, "circle", 0.5, (2.0, 2.0, 100.0, 100.0), []), (1, 2, "diamond", 0.7, (300.0, 0.0, 50.0, 50.0), None), (1, 3, "triangle", 0.6, (600.0, 600.0, 40.0, 40.0), []), (1, 4, "diamond", 0.8, (601.0, 601.0, 40.0, 40.0), []), (1, 5, "arrow", 0.9, (0.0, 0.0, 9.0, 9.0), []), (2, 1, "circle", 0.4, (0.0, 0.0, 10.0, 10.0), None)]
+    found = spark.createDataFrame(rows, f"image_id long, ord int, class string, conf double, {b}, {p}")
+    got = {(r["image_id"], r["id"]): (r["type"], r["confidence"], r["source"], r["cv_type"], r["action"]) for r in detections.merged_detections(shapes, found).collect()}
+    assert got == {
+        (1, "S1"): ("circle", 0.9, ["cv", "yolo"], "region", "retyped"), (1, "S7"): ("circle", 0.8, ["cv", "yolo"], None, "matched"),
+        (1, "S8"): ("diamond", 0.8, ["yolo"], "triangle", "added"), (2, "S1"): ("circle", 0.4, ["yolo"], None, "added"),
+    }
+    sets = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 1)], "image_id long, a int, b int")
+    assert sorted(tuple(r["holes"]) for r in detections.hole_sets(sets).collect()) == [(1, 2), (1, 2, 3), (2, 3), (2, 3, 4), (3, 4)]
+    box = lambda x: (x, 0.0, 10.0, 10.0)
+    candidates = spark.createDataFrame([(1, 1, [1, 2], 0.9, box(0.0)), (1, 2, [1], 0.95, box(50.0)), (1, 3, [3], 0.8, box(1.0)), (1, 4, [4], 0.7, box(100.0))], f"image_id long, candidate long, holes array<int>, score double, {b}")
+    assert sorted(r["candidate"] for r in detections.suppressed(candidates).collect()) == [1, 4]
+
+
+def test_readings_of_texts_and_connections_fuse(spark):
+    b = "bbox struct<x:double,y:double,w:double,h:double>"
+    ddl = f"image_id long, id string, ord int, text string, {b}, confidence double, crossed_out boolean, source array<string>"
+    known = spark.createDataFrame([(1, "T1", 1, None, (0.0, 0.0, 20.0, 10.0), 0.5, False, ["cv"]), (1, "T2", 2, "b", (100.0, 0.0, 20.0, 10.0), 0.9, False, ["cv"])], ddl)
+    read = spark.createDataFrame([(1, "a", 1, "loves", (1.0, 0.0, 20.0, 10.0), 0.6, True, ["vlm"]), (1, "b", 2, "other", (100.0, 1.0, 20.0, 10.0), 0.6, False, ["vlm"]), (1, "c", 3, "new", (300.0, 0.0, 20.0, 10.0), 0.6, False, ["vlm"])], ddl)
+    texts = fusion.fused_texts(known, read)
+    got = {r["id"]: (r["text"], r["confidence"], r["crossed_out"], r["read_id"], r["action"]) for r in texts.collect()}
+    assert got == {"T1": ("loves", 0.6, True, "a", "filled"), "T2": ("b", 0.9, False, "b", "matched"), "T3": ("new", 0.5, False, "c", "added")}
+    shapes = spark.createDataFrame([(1, "S1", (0.0, 100.0, 10.0, 10.0))], f"image_id long, id string, {b}")
+    end = "struct<point:struct<x:double,y:double>,shape_id:string,text_id:string,attachment:string,is_head:boolean>"
+    line = f"image_id long, id string, ord int, type string, path array<struct<x:double,y:double>>, endpoints array<{end}>, heavy boolean"
+    e = lambda s, x: ((0.0, 0.0), s, x, "free", False)
+    old = spark.createDataFrame([(1, "C4", 1, "line", [], [e("S1", None), e(None, "T2")], False)], line)
+    new = spark.createDataFrame([(1, "x", 1, "arrow", [], [e(None, "a"), e("s", None)], True), (1, "y", 2, "line", [], [e(None, "b"), e("s", None)], False), (1, "z", 3, "line", [], [e("s", None), e(None, "a")], False), (1, "w", 4, "line", [], [e(None, "gone"), e("s", None)], False)], line)
+    names = texts.select("image_id", "read_id", "id").unionByName(spark.createDataFrame([(1, "s", "S1")], "image_id long, read_id string, id string"))
+    rows = fusion.fused_connections(old, new, shapes, texts, names).collect()
+    assert [(r["id"], r["type"], [(x["text_id"], x["shape_id"], tuple(x["point"])) for x in r["endpoints"]], r["heavy"], r["locked_ends"], len(r["path"])) for r in rows] == [("C5", "arrow", [("T1", None, (10.0, 5.0)), (None, "S1", (5.0, 105.0))], True, True, 2)]
+
+
+def test_corrections_reach_every_table(spark, scene):
+    s = topology.updated(scene)
+    answer = '{"remove_shapes": ["S2", 6], "remove_texts": ["T9"], "remove_connections": ["C1"], "retype_shapes": {"S3": "oval"}, "add_shapes": [{"type": "box", "bbox": [900, 900, 950, 950]}], "text_corrections": {"T2": " C "}, "add_connections": [{"type": "arrow", "ends": ["T2", "S1", "S9"]}, {"ends": ["S2", "S1"]}]}'
+    fixes = s.images.select("image_id", F.from_json(F.lit(answer), model_json.CORRECTIONS).alias("fix"))
+    new = model_json.corrected(s, fixes)
+    shapes = {r["id"]: (r["type"], r["parent_id"]) for r in new.shapes.where("image_id = 1").collect()}
+    assert "S2" not in shapes and shapes["S3"][0] == "ellipse" and shapes["S7"][0] == "rectangle"
+    texts = {r["id"]: (r["text"], r["inside_shape_id"]) for r in new.texts.collect()}
+    assert texts["T2"] == ("C", "S3") and texts["T1"][1] is None
+    lines = new.connections.where("image_id = 1").collect()
+    assert [(r["id"], r["type"], [(e["text_id"], e["shape_id"], e["is_head"]) for e in r["endpoints"]]) for r in lines] == [("C2", "arrow", [("T2", None, False), (None, "S1", True)])]
+
+
+def test_json_spans_follow_brackets_only_within_values():
+    assert model_json.extracted('the 5" box is {"a": 1}') == '{"a":1}'
+    assert model_json.extracted('{"a": [1, 2} then {"b": 1}') is None and model_json.extracted('see // {x\n {"a":1}') is None
+    assert model_json.extracted('[1] {"b":2}') == "[1]" and model_json.extracted('{"a":1} {') == '{"a":1}'
+    assert model_json.extracted('{"a": "x\\"}"}') == '{"a":"x\\"}"}'
