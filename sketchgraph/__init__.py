@@ -1 +1 @@
-"""Collections of small drawn scenes as DataFrames, and the operations on them."""
+"""Collections of drawings and text corpora on Spark."""
