@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sketchgraph.storage import write_table  # noqa: F401
 
-#: Entries that a worker-local memo may hold before it is emptied (bounds worker memory, never changes a result).
+#: Entries that a worker-local memo may hold (bounds worker memory, never changes a result).
 MEMO_ENTRIES = 200_000
 #: Rows of an Arrow batch: a batch's texts lie in memory at once, in the JVM and in the worker.
 BATCH_ROWS = 1000
@@ -49,15 +49,15 @@ def code_points(data: bytes) -> int:
 
 
 class Memo(dict):
-    """A dictionary that computes missing entries; emptied when it holds ``MEMO_ENTRIES`` of them."""
+    """A dictionary that computes missing entries and keeps the first ``entries`` of them: frequent keys come early."""
 
     def __init__(self, f: Callable, entries: int = MEMO_ENTRIES):
         self.f, self.entries = f, entries
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
-            self.clear()
-        value = self[key] = self.f(key)
+        value = self.f(key)
+        if len(self) < self.entries:
+            self[key] = value
         return value
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, write_table
-from .tokens import PreTokens, tokenizer_path
+from .tokens import PieceWords, PreTokens, tokenizer_path
 from .vocab import count_units, document_units, hot_units, rare_sums, with_row_ids
 
 
@@ -21,8 +21,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     path = path or tokenizer_path()
 
     def split():
-        pre = PreTokens(path)
-        return lambda data: [p.encode() for p in pre(data)]
+        return PieceWords(path)
 
     def make():
         pre = PreTokens(path)
@@ -30,7 +29,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
 
     schema = pa.schema([("unit", pa.binary()), ("n_all", pa.int64()), ("n_tokens", pa.int64())])
     table = write_table(map_rows(count_units(docs, split).select("unit", "n_all"), make, schema, "unit binary, n_all long, n_tokens long", 65536), "pieces")
-    hot = {u: (n,) for u, _, n in hot_units(table)}
+    values: dict[int, tuple] = {}  # pieces of one length share theirs
+    hot = {u: values.setdefault(n, (n,)) for u, _, n in hot_units(table)}
     rows = rare_sums(document_units(with_row_ids(docs), split, hot, 1, "token-docs"), table, [F.col("n_tokens")])
     n_tokens = F.col("v0").cast("long")
     return rows.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

@@ -46,7 +46,7 @@ class PreTokens:
         """Lists of pre-tokens, one for each white-space word of plain texts; joined they are the text's pre-tokens."""
         text = data.decode("utf-8", "replace")
         if self.find_special and self.find_special.search(text):
-            return [[part]] if text in self.special else [p for i, part in enumerate(self.find_special.split(text)) if part for p in ([[part]] if i % 2 else self._split(part))]
+            return [[text]] if text in self.special else [p for i, part in enumerate(self.find_special.split(text)) if part for p in ([[part]] if i % 2 else self._split(part))]
         return self._split(text)
 
     def __call__(self, data: bytes) -> list[str]:
@@ -65,6 +65,26 @@ class PreTokens:
         return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
 
+class PieceWords:
+    """Texts as words whose units are pre-tokens. Texts that the library has to split give their pre-tokens, marked, as words."""
+
+    whole = False
+    MARK = b"\xff"  # begins no UTF-8 character
+
+    def __init__(self, path: str):
+        self.pre = PreTokens(path)
+        self.of_word = Memo(lambda w: tuple(p.encode() for p in PIECES.findall(w.decode())))
+
+    def words(self, data: bytes) -> list[bytes]:
+        text = data.decode("utf-8", "replace")
+        if PLAIN.search(text) or "<|" in text:
+            return [self.MARK + p.encode() for p in self.pre(data)]
+        return text.lower().encode().split()
+
+    def units(self, word: bytes) -> tuple[bytes, ...]:
+        return (word[1:],) if word[:1] == self.MARK else self.of_word[word]
+
+
 class IdBytes:
     """The ids of a text as little-endian unsigned 32-bit bytes; each pre-token is encoded once a worker."""
 

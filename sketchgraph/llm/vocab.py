@@ -9,21 +9,45 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
+from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, write_table
+from .common import lower_words, map_rows, rows_of, small_batches, text_bytes, write_table
 
 #: Bounds of the broadcast table of frequent units.
 HOT_UNITS, HOT_BYTES = 250_000, 48
-#: Distinct units that a task counts before it passes its counts on.
-HELD_UNITS = 300_000
+#: Distinct words that a task counts before it passes its counts on, or knows before it begins anew; bytes of a block of texts.
+HELD_WORDS, BLOCK_BYTES = 300_000, 1 << 19
 
-Split = Callable[[bytes], Iterable[bytes]]
+
+class Split(Protocol):
+    """How texts fall into words, and those into units; ``whole`` says that each word is one unit."""
+
+    whole: bool
+
+    def words(self, data: bytes) -> list[bytes]: ...
+
+    def units(self, word: bytes) -> tuple[bytes, ...]: ...
+
+
+class LowerWords:
+    """Lower-cased words, each a unit."""
+
+    whole = True
+
+    def words(self, data: bytes) -> list[bytes]:
+        return lower_words(data)
+
+    def units(self, word: bytes) -> tuple[bytes, ...]:
+        return (word,)
 
 
 def with_row_ids(docs: DataFrame, *more: Column) -> DataFrame:
@@ -34,27 +58,33 @@ def with_row_ids(docs: DataFrame, *more: Column) -> DataFrame:
 def count_units(docs: DataFrame, split: Callable[[], Split], counted: Column | None = None) -> DataFrame:
     """(unit binary, n_all, n): how often each distinct unit occurs in all rows, and in those where ``counted`` holds."""
 
-    def make():
-        units = split()
-
-        def run(rows):
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for data, kept in rows:
-                seen[bool(kept)].update(units(data))
-                if len(seen[0]) + len(seen[1]) >= HELD_UNITS:
-                    yield from out(seen)
-                    seen = (Counter(), Counter())
-            yield from out(seen)
-
-        return run
-
-    def out(seen):
-        yield from ((u, n, 0) for u, n in seen[0].items() if u not in seen[1])
-        yield from ((u, n + seen[0].get(u, 0), n) for u, n in seen[1].items())
+    def run(it):
+        of = split()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out():
+            units: tuple[Counter, Counter] = (Counter(), Counter())
+            for words, mine in zip(seen, units, strict=True):
+                for word, n in words.items():
+                    for u in of.units(word):
+                        mine[u] += n
+                words.clear()
+            both = units[0] + units[1] if units[0] else units[1]
+            found = list(both)
+            for at in range(0, len(found), 65536):
+                part = found[at : at + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(list(map(both.__getitem__, part)), pa.int64()), pa.array([units[1].get(u, 0) for u in part], pa.int64())], names=["unit", "n_all", "n"])
+
+        for batch in it:
+            for data, kept in rows_of(batch):
+                seen[bool(kept)].update(of.words(data))
+                if len(seen[0]) + len(seen[1]) >= HELD_WORDS:
+                    yield from out()
+        yield from out()
 
     rows = docs.select(text_bytes().alias("text"), (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
-    schema = pa.schema([("unit", pa.binary()), ("n_all", pa.int64()), ("n", pa.int64())])
-    return map_rows(rows, make, schema, "unit binary, n_all long, n long", 65536).groupBy("unit").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(run, "unit binary, n_all long, n long").groupBy("unit").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
 
 
 def hot_units(table: DataFrame) -> list[tuple]:
@@ -71,35 +101,95 @@ def hot_units(table: DataFrame) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in got.columns), strict=True)) if got.num_rows else []
 
 
+class _Numbers(dict):
+    """Numbers words as they come, with each word's number of units, sums of known units' values, and other units."""
+
+    def __init__(self, of: Split, known: dict[bytes, tuple], n_values: int):
+        self.of, self.known, self.zeros = of, known, (0,) * n_values
+        self.sums, self.others = array("d"), {}
+
+    def __missing__(self, word: bytes) -> int:
+        units, known = self.of.units(word), self.known
+        found = [known[u] for u in units if u in known]
+        number = self[word] = len(self)
+        self.sums.append(len(units))
+        self.sums.extend(found[0] if len(found) == 1 else map(sum, zip(*found, strict=True)) if found else self.zeros)
+        if len(found) < len(units):
+            self.others[number] = [u for u in units if u not in known]
+        return number
+
+
+class UnitSums:
+    """For texts as lists of words: how many units each has, the sums of its known units' values, and its other units with their frequencies."""
+
+    def __init__(self, of: Split, known: dict[bytes, tuple], n_values: int):
+        self.n_values, self.fresh = n_values, lambda: _Numbers(of, known, n_values)
+        self.numbers = self.fresh()
+        if of.whole:  # words are units: only known ones need numbers, and the last row stands for all others
+            self.numbers = {u: i for i, u in enumerate(known)}
+            self.table = np.array([(1, *v) for v in known.values()] + [(1, *[0] * n_values)], float)
+        self.whole = of.whole
+
+    def __call__(self, texts: list[list[bytes]]) -> tuple[list[int], list[list[float]], list[list[dict]]]:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        rare: list[Counter] = [Counter() for _ in texts]
+        if self.whole:
+            words = list(chain.from_iterable(texts))
+            which, table = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words)), self.table
+            at = np.flatnonzero(which < 0)
+            for text, k in zip(owner[at].tolist(), at.tolist(), strict=True):
+                rare[text][words[k]] += 1
+        else:
+            if len(self.numbers) >= HELD_WORDS:  # bounds the worker's memory
+                self.numbers = self.fresh()
+            which = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+            table, others = np.array(self.numbers.sums).reshape(-1, 1 + self.n_values), self.numbers.others
+            partly = np.zeros(len(table), bool)
+            partly[list(others)] = True
+            at = np.flatnonzero(partly[which])
+            for text, number in zip(owner[at].tolist(), which[at].tolist(), strict=True):
+                for u in others[number]:
+                    rare[text][u] += 1
+        sums = [np.bincount(owner, table[which, k], len(texts)) for k in range(1 + self.n_values)]
+        return sums[0].astype(np.int64).tolist(), [s.tolist() for s in sums[1:]], [[{"unit": u, "f": f} for u, f in r.items()] for r in rare]
+
+
+RARE, RARE_DDL = pa.list_(pa.struct([("unit", pa.binary()), ("f", pa.int64())])), "rare array<struct<unit:binary,f:bigint>>"
+
+
+def _blocks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """(row, doc_id, text) tuples, about BLOCK_BYTES of text at a time."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[2])
+        if size >= BLOCK_BYTES or len(held) >= 1024:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def document_units(rows: DataFrame, split: Callable[[], Split], hot: dict[bytes, tuple], n_values: int, name: str) -> DataFrame:
-    """A written table (row, doc_id, ..., n_bytes, n_units, v0.., rare array<struct<unit, f>>) from (row, doc_id, text, ...)."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(hot)
+    """A written table (row, doc_id, n_bytes, n_units, v0.., rare) from (row, doc_id, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def make():
-        units, known = split(), shared.value
+        of = split()
+        add = UnitSums(of, shared.value, n_values)
 
         def run(it):
-            for row, data, *rest in it:
-                sums, rare, n = [0] * n_values, [], 0
-                for u, f in Counter(units(data)).items():
-                    n += f
-                    values = known.get(u)
-                    if values is None:
-                        rare.append({"unit": u, "f": f})
-                    else:
-                        for k in range(n_values):
-                            sums[k] += values[k] * f
-                yield (row, *rest, len(data), n, *map(float, sums), rare)
+            for block in _blocks(it):
+                n, sums, rare = add([of.words(r[2]) for r in block])
+                for k, (row, doc_id, data) in enumerate(block):
+                    yield (row, doc_id, len(data), n[k], *(s[k] for s in sums), rare[k])
 
         return run
 
-    rest = [f for f in rows.schema if f.name not in ("row", "text")]
-    rare = pa.list_(pa.struct([("unit", pa.binary()), ("f", pa.int64())]))
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
-    schema = pa.schema([("row", pa.int64()), *((f.name, types[f.dataType.simpleString()]) for f in rest), ("n_bytes", pa.int64()), ("n_units", pa.int64()), *((f"v{k}", pa.float64()) for k in range(n_values)), ("rare", rare)])
-    ddl = ", ".join(["row long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_bytes long", "n_units long", *(f"v{k} double" for k in range(n_values)), "rare array<struct<unit:binary,f:bigint>>"])
-    return write_table(map_rows(rows.select("row", "text", *(f.name for f in rest)), make, schema, ddl, 512), name)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_units", pa.int64()), *((f"v{k}", pa.float64()) for k in range(n_values)), ("rare", RARE)])
+    ddl = ", ".join(["row long, doc_id long, n_bytes long, n_units long", *(f"v{k} double" for k in range(n_values)), RARE_DDL])
+    return write_table(map_rows(rows.select("row", "doc_id", "text"), make, schema, ddl, 512), name)
 
 
 def rare_sums(units: DataFrame, table: DataFrame, values: list[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sketchgraph.llm import decontaminate, lm_score, near_dups, packing, quality_rules, token_counts
+from sketchgraph.llm import decontaminate, events, lm_score, near_dups, packing, quality_rules, token_counts
 from sketchgraph.llm import secrets as scan
 from sketchgraph.llm.tokens import tokenizer_path
 
@@ -120,15 +120,15 @@ def test_estimate_is_corrected_for_chance():
 
 
 def test_decontamination(spark, docs, none, table):
-    items = [(1, " ".join((table[2][1] or "").split()[:30])), (2, table[40][1]), (3, "one two"), (None, "the of"), (4, None), (5, "..."), (1, "w1 W2"), (10, " ".join((table[6][1] or "").split()[5:40]))]
+    items = [(1, " ".join((table[2][1] or "").split()[:30])), (2, table[40][1]), (3, "one two"), (None, "the of"), (None, "no id here at all, " + (table[8][1] or "")), (4, None), (5, "..."), (1, "w1 W2"), (10, " ".join((table[6][1] or "").split()[5:40]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
     for i, t in items:
         w = word.findall(lower(t))
         for k in range(max(1, len(w) - 9)):
-            if w and i is not None:
-                windows[tuple(w[k : k + 10])].add(str(i))
+            if w:
+                windows[tuple(w[k : k + 10])] |= {str(i)} - {"None"}
     want = Counter()
     for d, t, *_ in table:
         w, hit, found = word.findall(lower(t)), set(), set()
@@ -189,6 +189,25 @@ def test_partitions_with_gaps_exchange(spark):
     assert len(dealt) == 900 and max(fill.values()) <= 4096
 
 
+def test_uncertified_partitions_never_pile_up(spark):
+    """Lengths that no bound certifies: rounds go on over partitions of bounded size and end, every piece placed once."""
+    rng = np.random.default_rng(5)
+    sizes = rng.choice([51, 27, 26, 23, 31, 34, 41], 1500)
+    dealt = packing.pack(spark.createDataFrame([(int(n),) for n in sizes], "length long"), 100, part_rows=40).collect()
+    fill = defaultdict(list)
+    for r in dealt:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in fill.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert sorted(r["length"] for r in dealt) == sorted(sizes.tolist())
+    apart = sum(len(packing.best_fit_decreasing(sizes[k : k + 40], 100)[2]) for k in range(0, 1500, 40))
+    assert len(fill) < apart and all(rows / packing._parts(rows, 40) <= 40 for rows in range(1, 500))
+
+
 def test_lower_bound_never_exceeds_a_packing():
     rng = np.random.default_rng(8)
     for _ in range(50):
@@ -239,14 +258,84 @@ def test_band_rejects_planted_junk_and_keeps_clean_text(spark):
         assert sum(kept) >= 0.9 * len(kept) and sum(caught) >= 0.6 * len(caught)
 
 
-def test_kneser_ney_sums_to_one():
-    words = {b"the": 5, b"then": 2, b"he": 1, b"ten": 3, b"\xc3\xa9t": 1, b"A1": 2}
-    codes, owner = quality_rules.word_codes(list(words))
-    found, where = np.unique(codes, return_inverse=True)
-    counts = np.bincount(where, np.array(list(words.values()))[owner]).astype(np.int64)
-    model = quality_rules.KneserNey(found, counts)
-    for context in (0, 20, 20 << 6 | 8, 5 << 12 | 5 << 6 | 5):
-        assert np.exp(model.log_p((context << 6) + np.arange(64))).sum() == pytest.approx(1, abs=1e-5)
+def naive_kneser_ney(texts, order=quality_rules.ORDER):
+    """(context bytes, symbol) -> probability, straight from the definition, over dictionaries."""
+    top = Counter()
+    for text in texts:
+        history = (32,) * (order - 1)
+        for s in [*b" ".join(text.encode().split()), events.END]:
+            top[history[1 - order :] + (s,)] += 1
+            history += (s,)
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off = {k: quality_rules.discounts(np.array([sum(n == j for n in c.values()) for j in (1, 2, 3, 4)], float)) for k, c in counts.items()}
+
+    def p(context, s):
+        if not context and (s,) not in counts[1] and not counts[1]:
+            return 1 / quality_rules.SYMBOLS
+        k = len(context) + 1
+        here = {g[-1]: n for g, n in counts[k].items() if g[:-1] == context}
+        lower = p(context[1:], s) if context else 1 / quality_rules.SYMBOLS
+        if not here:
+            return lower
+        total = sum(here.values())
+        gamma = sum(off[k][min(n, 3)] for n in here.values()) / total
+        return max(here.get(s, 0) - off[k][min(here.get(s, 0), 3)], 0) / total + gamma * lower
+
+    return p
+
+
+def shard_of(codes, counts, last):
+    mine = (codes >> events.SYMBOL_BITS) & 255 == last
+    return quality_rules.levels(codes[mine], counts[mine])
+
+
+def test_kneser_ney_matches_the_definition():
+    texts = ["the then he ten", "the hen then", "été A1 A1", "he"]
+    running = events.Running([t.encode() for t in texts], quality_rules.ORDER - 1)
+    codes = np.concatenate([c for _, c in running.slices()])
+    codes, counts = np.unique(codes[codes >= 0], return_counts=True)
+    shards = {x: shard_of(codes, counts, x) for x in set(((codes >> events.SYMBOL_BITS) & 255).tolist())}
+    tally = np.sum([quality_rules.tally(g) for g in shards.values()], axis=0).tolist()
+    single = np.zeros(quality_rules.SYMBOLS, np.int64)
+    for g in shards.values():
+        np.add.at(single, g[2][0] & 511, 1)
+    p = naive_kneser_ney(texts)
+    for context in (b"   ", b"the", b"zhe", b"\xc3\xa9t", b" A1", b"xyn"):
+        model = quality_rules.KneserNey(shards[context[-1]], tally, single)
+        got = np.exp(model.log_p((int.from_bytes(context, "big") << events.SYMBOL_BITS) + np.arange(quality_rules.SYMBOLS)))
+        assert got.sum() == pytest.approx(1) and got == pytest.approx([p(tuple(context), s) for s in range(quality_rules.SYMBOLS)])
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 25])
+def test_verdicts_match_brute_force(spark, monkeypatch, hot):
+    """kept, by perplexities straight from the definition and quartiles of sorted lists."""
+    monkeypatch.setattr(events, "HOT_EVENTS", hot)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["an", "re", "ti", "on", "é"]) for _ in range(rng.randrange(1, 3)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(45, 80))), ("en", "fr", None)[i % 3]) for i in range(60)]
+    rows += [(100, " ".join(word() + "#%$" for _ in range(60)), "en"), (101, "", "en"), (102, None, None), (103, "one " * 90, "fr")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    by_lang = defaultdict(list)
+    for i, t, lang in rows:
+        by_lang[lang].append((i, t or ""))
+    for mine in by_lang.values():
+        p, score = naive_kneser_ney([t for _, t in mine if t.split()]), {}
+        for i, t in mine:
+            if t.split():
+                history, logs = (32,) * (quality_rules.ORDER - 1), []
+                for s in [*b" ".join(t.encode().split()), events.END]:
+                    logs.append(np.log(p(history[1 - quality_rules.ORDER :], s)))
+                    history += (s,)
+                score[i] = -sum(logs) / len(logs)
+                assert got[i]["perplexity"] == pytest.approx(np.exp(score[i]), rel=1e-5)
+        passed = sorted(round(score[i] / quality_rules.BIN) for i, _ in mine if not got[i]["base_failed"])
+        q1, q2, q3 = (passed[int(np.ceil(len(passed) * q)) - 1] * quality_rules.BIN for q in (0.25, 0.5, 0.75))
+        for i, _ in mine:
+            within = i in score and q2 - 4 * max(q2 - q1, 0.01) <= score[i] <= q2 + 4 * max(q3 - q2, 0.01)
+            assert got[i]["kept"] == (within and not got[i]["base_failed"])
+    assert not got[100]["kept"]
 
 
 def test_perplexity_sees_the_order_of_words_and_other_scripts(spark):
@@ -278,63 +367,11 @@ def test_lm_scores(docs, none, table):
     assert lm_score.lm_scores(none).count() == 0
 
 
-def naive_ppm(words, n_texts, context, symbol):
-    """Probability of a symbol after a context (tuple), straight from the definition."""
+def naive_ppm(texts):
+    """A function (context, symbol) -> probability, straight from the definition."""
     counts = defaultdict(Counter)
-    for w, f in words.items():
-        history = (lm_score.START,)
-        for s in [*w, lm_score.WORD_END]:
-            for k in range(min(lm_score.ORDER, len(history)) + 1):
-                counts[history[len(history) - k :]][s] += f
-            history += (s,)
-    for k in (0, 1):
-        counts[(lm_score.START,)[:k]][lm_score.TEXT_END] += n_texts
-    p, out = 1.0, set()
-    for k in range(min(lm_score.ORDER, len(context)), -1, -1):
-        here = {s: c for s, c in counts.get(context[len(context) - k :], {}).items() if s not in out}
-        if here:
-            total = sum(here.values())
-            if symbol in here:
-                return p * (here[symbol] - 0.5) / total
-            p *= len(here) / 2 / total
-        out |= set(here)
-    return p / (lm_score.SYMBOLS - len(out))
-
-
-def test_trie_matches_the_definition():
-    words = {b"the": 5, b"then": 2, b"thin": 1, b"hen": 4, b"nnnnnnnn": 1}
-    keys, owner = lm_score.events(list(words))
-    found, where = np.unique(keys, return_inverse=True)
-    n = np.bincount(where, np.array(list(words.values()))[owner]).astype(np.int64)
-    every = np.append(found, lm_score.text_end())
-    by = np.argsort(every)
-    trie = lm_score.Trie(every[by], np.append(n, 3)[by])
-    for word in (b"the", b"thn", b"zoo", b"nnnnnnnnnn", b""):
-        want, history = 0.0, (lm_score.START,)
-        for s in [*word, lm_score.WORD_END]:
-            want += np.log10(naive_ppm(words, 3, history[-lm_score.ORDER :], s))
-            history += (s,)
-        assert trie.words([word])[0] == pytest.approx(want)
-
-
-def test_scores_follow_the_order_of_words(spark, monkeypatch):
-    """Contexts run across words: naive coding of whole documents gives the scores, and shuffled words score lower."""
-    texts = [*["The red fox sees the old dog near the tall oak tree."] * 6, "the oak", "", " a \n"]
-    shuffled = " ".join(sorted(texts[0].split(), key=lambda w: w[::-1]))
-    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
-    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
-    rows = [*zip(free, texts, strict=True), (held[0], texts[0]), (held[1], shuffled)]
-    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    counts = defaultdict(Counter)
-
-    def events(text):
-        history = (lm_score.START,)
-        for s in [*b" ".join(text.lower().encode().split()), lm_score.TEXT_END]:
-            yield history[-lm_score.ORDER :], s
-            history += (s,)
-
     for text in texts:
-        for context, s in events(text):
+        for context, s in naive_events(text):
             for k in range(len(context) + 1):
                 counts[context[len(context) - k :]][s] += 1
 
@@ -348,14 +385,65 @@ def test_scores_follow_the_order_of_words(spark, monkeypatch):
             out |= set(here)
         return p / (lm_score.SYMBOLS - len(out))
 
+    return coded
+
+
+def naive_events(text):
+    history = (32,) * lm_score.ORDER
+    for s in [*b" ".join((text or "").encode().lower().split()), events.END]:
+        yield history[-lm_score.ORDER :], s
+        history += (s,)
+
+
+def test_trie_matches_the_definition():
+    texts = ["the then thin", "the hen the hen", "nnnnnnnn", "", "the"]
+    seen = Counter(sum(b << (8 * (lm_score.ORDER - 1 - k)) for k, b in enumerate(c)) << events.SYMBOL_BITS | s for t in texts for c, s in naive_events(t))
+    codes, n = np.array(sorted(seen)), np.array([seen[c] for c in sorted(seen)])
+    running = events.Running([t.encode() for t in texts], lm_score.ORDER)
+    assert Counter(c for _, part in running.slices() for c in part.tolist() if c >= 0) == seen
+    trie, coded = lm_score.Trie(codes, n, lm_score.low_levels(codes & lm_score._mask(1), n)), naive_ppm(texts)
+    for text in ("the hen", "thn", "zoo", "nnnnnnnnnn", "", "then the"):
+        pairs = list(naive_events(text))
+        got = trie.log10_p(next(events.Running([text.encode()], lm_score.ORDER).slices())[1][: len(pairs)])
+        assert got == pytest.approx([np.log10(coded(c, s)) for c, s in pairs])
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 20, 0])
+def test_scores_follow_the_order_of_words(spark, monkeypatch, hot):
+    """Contexts run across words: naive coding of whole documents gives the scores, whatever the bound of frequent events and
+    however events are dealt, and shuffled words score lower."""
+    monkeypatch.setattr(events, "HOT_EVENTS", hot)
+    monkeypatch.setattr(lm_score, "PART_EVENTS", 40)
+    monkeypatch.setattr(lm_score, "TOGETHER", 9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    texts = [*["The red fox sees the old dog near the tall oak tree."] * 6, "the oak", "", " a \n", None, "é日本 " * 30]
+    shuffled = " ".join(sorted(texts[0].split(), key=lambda w: w[::-1]))
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    rows = [*zip(free, texts, strict=True), (held[0], texts[0]), (held[1], shuffled)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    coded = naive_ppm(texts)
     for i, text in rows:
-        assert got[i] == pytest.approx(sum(np.log10(coded(c, s)) for c, s in events(text)))
+        assert got[i] == pytest.approx(sum(np.log10(coded(c, s)) for c, s in naive_events(text)), rel=1e-5)
     assert got[held[1]] < got[held[0]] - 3
-    data = [lm_score.joined(t.encode()) for t in texts]
-    keys, owner = lm_score.document_events(data)
-    monkeypatch.setattr(lm_score, "SLICE", 7)
-    sliced, theirs = lm_score.document_events(data)
-    assert keys.tolist() == sliced.tolist() and owner.tolist() == theirs.tolist()
+
+
+def test_events_come_in_slices(monkeypatch):
+    texts = [b"the red fox", b"", b"a", b"b" * 50, b""]
+    whole = events.Running(texts, 5)
+    ((_, codes),) = whole.slices()
+    values = np.where(codes >= 0, np.arange(len(codes)), 0).astype(np.float32)
+    totals = np.zeros(5)
+    whole.add(totals, 0, values)
+    assert totals.tolist() == [sum(v for k, v in enumerate(values.tolist()) if whole.starts[i] <= k <= whole.ends[i]) for i in range(5)]
+    monkeypatch.setattr(events, "SLICE", 7)
+    again = np.zeros(5)
+    parts = list(whole.slices())
+    for at, part in parts:
+        whole.add(again, at, values[at : at + len(part)])
+    assert np.concatenate([p for _, p in parts]).tolist() == codes.tolist() and again.tolist() == totals.tolist()
 
 
 def test_secret_scan(docs, none, table):
@@ -390,7 +478,23 @@ def test_network_sees_the_whole_candidate():
 
 def test_network_holds_out():
     net = scan.trained()
-    found = scan.labelled_findings(1000, 123)
-    p = net.probability(np.stack([scan.encoded(t, a, b) for t, a, b, _ in found]))
-    y = np.array([k for *_, k in found])
-    assert (p[y == 1] >= net.threshold).mean() > 0.95 and (p[y == 0] >= net.threshold).mean() < 0.03
+    chance = lambda found: net.probability(np.stack([scan.encoded(t, a, b) for t, a, b, _ in found]))
+    calibration = scan.labelled_findings(2000, 12)
+    assert (chance(calibration)[[k == 1 for *_, k in calibration]] >= net.threshold).mean() >= scan.RECALL
+    found = scan.labelled_findings(2000, 123)
+    p, y = chance(found), np.array([k for *_, k in found])
+    assert (p[y == 1] >= net.threshold).mean() > 0.965 and (p[y == 0] >= net.threshold).mean() < 0.04
+
+
+def test_short_values_behind_a_lead_are_candidates():
+    net, rng = scan.trained(), random.Random(4)
+    for text in ("login pwd: Tr0ub4dor9 then", "Authorization: Bearer 9f8e7d6c5b4a", 'private="hQzRbWvKpLmXtYcNfGdJ" x'):
+        spans = scan.candidates(text, text.encode(), [])
+        assert len(spans) == 1
+    assert not scan.candidates("the key: everything", b"the key: everything", [])
+    hits = 0
+    for _ in range(100):
+        value = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=12))
+        text = f"log in with pwd: {value} please"
+        hits += any(k == 3 for _, k, _ in scan.spans_of(text.encode(), net))
+    assert hits >= 80
