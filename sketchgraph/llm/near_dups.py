@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, groups_of, lower_words, map_rows, mix, rows_of, text_bytes, window_hashes, write_table
+from .common import WordHashes, groups_of, lower_words, map_rows, mix, text_bytes, window_hashes, write_table
 from .vocab import with_row_ids
 
 WORDS, BANDS, ROWS = 5, 32, 5
@@ -28,6 +28,9 @@ N_MINIMA = BANDS * ROWS
 SLACK = 6.0
 #: Classes in a block that one task compares with another block.
 BLOCK = 256
+#: Keys whose rows are kept out of shuffles by that key, rows of a frequent centre that go to one task, and rows (two longs)
+#: of a table that goes to all tasks.
+HOT_KEYS, CHUNK, IN_PLACE = 10_000, 1024, 1_000_000
 _random = np.random.default_rng(20240229)
 _XOR = _random.integers(0, 1 << 32, N_MINIMA, np.uint32)[:, None]
 _MULTIPLY = _random.integers(0, 1 << 31, N_MINIMA, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -102,25 +105,30 @@ def _sets(rows: Iterator[tuple]):
             yield row, doc_id, 0, None, None, None
 
 
-def _buckets(it):
-    """(band, class) sorted by both -> (band, least class, class) of every band value that two classes share at least."""
-    band, least, told = None, 0, False
-    schema = pa.schema([("band", pa.int64()), ("center", pa.int64()), ("cid", pa.int64())])
-    for b in it:
-        h, c = (b.column(k).to_numpy() for k in (0, 1))
-        if not len(h):
-            continue
-        starts = np.flatnonzero(np.concatenate([[band is None or h[0] != band], h[1:] != h[:-1]]))
-        run = np.searchsorted(starts, np.arange(len(h)), "right") - 1  # -1: goes on from the batch before
-        center = np.where(run >= 0, c[starts[np.maximum(run, 0)]] if len(starts) else least, least)
-        first = np.zeros(len(h), bool)
-        first[starts] = True
-        more = ~first
-        second = more & np.concatenate([[run[0] < 0 and not told], first[:-1]])
-        out = [(h[more], center[more], c[more]), (h[second], center[second], center[second])]
-        told = bool(more[-1])
-        band, least = h[-1], center[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and for broadcast if it has IN_PLACE rows at most; a larger one is joined by a shuffle."""
+    table = write_table(df, name)
+    return F.broadcast(table) if table.count() <= IN_PLACE else table
+
+
+def _joined(rows: DataFrame, looked: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``looked`` has for their ``key``; keys with the most rows by ``counts`` (key, n) are looked up in place.
+
+    No shuffle then brings the rows of a large group together: any other key has at most one in HOT_KEYS of all rows.
+    """
+    large = F.broadcast(write_table(counts.orderBy(F.desc("n")).limit(HOT_KEYS).select(key), "large"))
+    often = rows.join(F.broadcast(looked.join(large, key, "left_semi")), key)
+    return often.unionByName(rows.join(large, key, "left_anti").join(looked.join(large, key, "left_anti"), key, how), allowMissingColumns=True)
+
+
+def bucketed(reps: DataFrame) -> DataFrame:
+    """(band, center, cid): the classes of every band that two share at least, with the least of them.
+
+    The least class comes from partial minima, so a band that many classes share makes no large task.
+    """
+    every = reps.select(F.explode("bands").alias("band"), "cid")
+    least = every.groupBy("band").agg(F.min("cid").alias("center"), F.count("*").alias("n")).where("n >= 2").select("band", "center")
+    return every.join(_held(least, "bands"), "band").select("band", "center", "cid")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,7 +161,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, row: str | N
     Sets of five-word shingles are linked where den * |intersection| >= num * |union|; component_id is the least doc_id
     of the component (null only if all are), ``component`` a number of it, and ``first`` marks one row of each component:
     the one with the least doc_id (null last), then row. Null texts and texts without words are linked with nothing.
-    Copies, repeated rows included, form one class and are not compared. Other columns are ignored. ``row`` names a column
+    Copies, repeated rows included, form one class and are not compared. Texts of any length are read whole; other columns
+    are ignored; an empty table gives no rows. ``row`` names a column
     that numbers the rows of a table which reads alike each time; without it rows are numbered in a written copy.
     """
     bar = least_matches(num / den)
@@ -163,12 +172,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, row: str | N
         texts = write_table(with_row_ids(docs).withColumn("doc_id", F.col("doc_id").cast("long")).select("row", "doc_id", "text"), "documents")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     sets = write_table(map_rows(texts, lambda: _sets, schema, "row long, doc_id long, n long, key binary, sig array<long>, bands array<long>", 1024), "sets")
-    classes = write_table(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = write_table(sets.where("n > 0").groupBy("key").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     reps = write_table(sets.join(classes.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "sig", "bands"), "reps")
 
-    dealt = reps.select(F.explode("bands").alias("band"), "cid").repartition("band").sortWithinPartitions("band", "cid")
-    buckets = write_table(dealt.mapInArrow(_buckets, "band long, center long, cid long"), "buckets")
-    wanted = buckets.select(F.col("cid").alias("row")).distinct()
+    buckets = write_table(bucketed(reps), "buckets")
+    wanted = _held(buckets.select(F.col("cid").alias("row")).distinct(), "wanted")
     one = pa.schema([("cid", pa.int64()), ("members", pa.binary())])
 
     def full(rows):
@@ -185,12 +193,24 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, row: str | N
         same = same - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     stars = buckets.where("center <> cid").select("center", "cid").distinct()
     stars = stars.join(brief.alias("a"), F.col("center") == F.col("a.cid")).select("center", stars["cid"], F.col("a.sig").alias("sig")).alias("a").join(brief.alias("b"), F.col("a.cid") == F.col("b.cid")).where(same >= bar).select("center", F.col("a.cid").alias("cid"))
-    left = members.select(F.col("cid").alias("center"), F.col("members").alias("theirs"))
-    held = stars.join(members, "cid").join(left, "center").select("center", "cid", "theirs", "members")
+    stars = write_table(stars, "stars")
+    often = stars.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).orderBy(F.desc("n")).limit(HOT_KEYS)
+    hot = F.broadcast(write_table(often.select("center", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "hot-centers"))
+    chunks = F.coalesce("chunks", F.lit(1))
+    # one row with the centre's set leads the rows with its members' sets, in chunks of a bounded number of rows
+    leads = stars.select("center").distinct().join(hot, "center", "left").select("center", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(None).cast("long").alias("other"), F.col("center").alias("cid"))
+    dealt = stars.join(hot, "center", "left").select("center", F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("chunk"), F.col("cid").alias("other"), "cid")
+    held = dealt.unionByName(leads).join(members, "cid").select("center", "chunk", "other", "members")
+    held = held.repartition("center", "chunk").sortWithinPartitions("center", "chunk", F.col("other").asc_nulls_first())
     pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def confirm(rows):
-        return ((u, v) for u, v, a, b in rows if linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), num, den))
+        theirs = None
+        for center, _, other, members in rows:
+            if other is None:
+                theirs = np.frombuffer(members, np.uint64)
+            elif linked(theirs, np.frombuffer(members, np.uint64), num, den):
+                yield center, other
 
     links = write_table(map_rows(held, lambda: confirm, pair, "u long, v long"), "links")
     parts = components(links)
@@ -207,13 +227,16 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, row: str | N
     more = write_table(more, "more")
     parts = write_table(components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
-    classed = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    classed = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")).drop("n")
+    classed = write_table(classed, "classed")
     least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cid")).alias("m"))
     least = least.select("component", "component_id", F.col("m.cid").alias("holder"))
-    by_key = classed.join(least, "component").select("key", "cid", "component", "component_id", (F.col("holder") == F.col("cid")).alias("holds"))
+    by_key = _joined(classed, least, "component", classed.groupBy("component").agg(F.count("*").alias("n")))
+    by_key = by_key.select("key", "component", "component_id", (F.col("holder") == F.col("cid")).alias("holds"))
     # within the class that holds the component's least doc_id: its first row with that doc_id
     firsts = sets.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select("key", F.col("m.row").alias("first_row"))
-    out = sets.select("row", "doc_id", F.col("n").alias("n_shingles"), "key").join(by_key.join(firsts, "key"), "key", "left")
+    by_key = write_table(by_key.join(firsts, "key"), "by-key")
+    out = _joined(sets.select("row", "doc_id", F.col("n").alias("n_shingles"), "key"), by_key, "key", classes.select("key", "n"), "left")
     alone = F.col("key").isNull()
     return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("component")).alias("component"), (alone | (F.col("holds") & (F.col("row") == F.col("first_row")))).alias("first"))
 
