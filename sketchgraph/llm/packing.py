@@ -2,8 +2,9 @@
 
 Documents are tokenised once; only lengths are packed. Partitions of at most ``PART_ROWS`` pieces are packed by best-fit
 decreasing and certified by dual-feasible-function lower bounds. Partitions above their bound put the pieces of their
-unfilled bins together, certified ones those of their emptiest bin (so that rounding up costs no bin a partition), several
-partitions into one, and these are packed again, until one partition is left.
+unfilled bins together, certified ones those of their emptiest bin (so that rounding up costs no bin a partition). These
+pieces are dealt anew, again at most ``PART_ROWS`` to a partition, and packed again, until they fit one partition or a
+round over as many partitions as before saves no bin.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import groups_of, map_rows, text_bytes, write_table
 from .tokens import IdBytes, tokenizer_path
 
-#: Pieces that one task packs at once, and partitions that exchange pieces in one.
-PART_ROWS, MERGED = 100_000, 8
+#: Pieces that one task packs at once (on average over the tasks of a round, which are dealt by hash).
+PART_ROWS = 100_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -104,6 +105,10 @@ def _packed(rows: Iterable[tuple], limit: int, last: bool) -> Iterator[tuple]:
             yield part, r[1], r[2], b, o, room[b] > 0 and (gap or b == emptiest)
 
 
+def _parts(rows: int, part_rows: int) -> int:
+    return max(1, -(-rows // part_rows))
+
+
 def pack(pieces: DataFrame, limit: int = 4096, part_rows: int = PART_ROWS) -> DataFrame:
     """``pieces`` (a stable table with a length of 1 to ``limit``) with sequence_id and offset, in as few sequences as found.
 
@@ -113,8 +118,8 @@ def pack(pieces: DataFrame, limit: int = 4096, part_rows: int = PART_ROWS) -> Da
     whole = F.col("length") == limit
     full = numbered.where(whole).select("id", (-1 - F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo = numbered.where(~whole).select("id", "length")
-    level, done = 0, [full]
-    n_parts = max(1, -(-todo.count() // part_rows))
+    level, done, before = 0, [full], None
+    n_parts = _parts(todo.count(), part_rows)
     todo = todo.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
     while True:
         schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("length", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("again", pa.bool_())])
@@ -122,16 +127,15 @@ def pack(pieces: DataFrame, limit: int = 4096, part_rows: int = PART_ROWS) -> Da
         last = n_parts == 1
         out = write_table(map_rows(dealt, lambda last=last: lambda rows: _packed(rows, limit, last), schema, "part int, id long, length long, bin long, offset long, again boolean", 65536), f"packed-{level}")
         sequence = F.lit(level << 57) + F.shiftleft(F.col("part").cast("long"), 24) + F.col("bin")
-        done.append(out.where(~F.col("again")).select("id", sequence.alias("sequence_id"), "offset"))
-        if last:
-            break
-        again = out.where("again")
-        rows = again.count()
-        if not rows:
+        placed = out.select("id", sequence.alias("sequence_id"), "offset", "again")
+        bins, rows, open_bins = out.groupBy("part", "bin").agg(F.max("again").alias("again"), F.count("*").alias("n")).agg(F.count("*"), F.sum(F.when(F.col("again"), F.col("n"))), F.count_if("again")).first()
+        if last or not rows or (_parts(rows, part_rows) >= n_parts and before is not None and bins >= before):
+            done.append(placed.drop("again"))
             break
-        n_parts = min(-(-n_parts // MERGED), max(1, -(-rows // part_rows)))
+        done.append(placed.where(~F.col("again")).drop("again"))
+        n_parts, before = _parts(rows, part_rows), open_bins
         level += 1
-        todo = again.select("id", "length").withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(n_parts)).cast("int"))
+        todo = out.where("again").select("id", "length").withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(n_parts)).cast("int"))
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)
@@ -141,7 +145,8 @@ def pack(pieces: DataFrame, limit: int = 4096, part_rows: int = PART_ROWS) -> Da
 def packed_documents(docs: DataFrame, path: str | None = None, limit: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every document of ``docs`` (doc_id, text).
 
-    Null texts count as empty and repeated rows are packed each; other columns are ignored.
+    Null texts count as empty and repeated rows are packed each; texts of any length are tokenised whole; a null doc_id stays
+    null; other columns are ignored; an empty table gives no rows.
     """
     return pack(token_pieces(docs, path, limit, end_id), limit)
 
