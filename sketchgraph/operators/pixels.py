@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sketchgraph.functions import raster as r
 from sketchgraph.model import ENDPOINT, Scene
-from sketchgraph.operators.strokes import LineParameters, Piece, joined_pieces
+from sketchgraph.operators.strokes import LineParameters, Piece, bridged, joined_pieces
 
 # Fixed values.
 MAX_SIDE, LEAST_SIDE, THUMBNAIL = 1800, 900, 600
@@ -350,10 +350,72 @@ def region_of_holes(holes: np.ndarray, p: ShapeParameters) -> np.ndarray:
     return (r.erode(grown, back) if back else grown)[n + 1 : -n - 1, n + 1 : -n - 1]
 
 
+def stroke_ends(ink: np.ndarray, stroke: float, least: float) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    """(point, direction outward) of the loose ends of strokes ``least`` pixels long or longer."""
+    number, stats = r.labels(ink)
+    long = np.maximum(stats[:, 2], stats[:, 3]) >= least
+    long[0] = False
+    bones = r.thinned(long[number])
+    pixels, out = set(zip(*(v.tolist() for v in np.nonzero(bones)), strict=True)), []
+    for y, x in zip(*(v.tolist() for v in np.nonzero(r.neighbours(bones) == 1)), strict=True):
+        way = [(y, x)]
+        for _ in range(max(4, int(3 * stroke))):
+            ahead = [q for dy, dx in r.NEIGHBOURS if (q := (way[-1][0] + dy, way[-1][1] + dx)) in pixels and q not in way]
+            if not ahead:
+                break
+            way.append(ahead[0])
+        dy, dx = y - way[-1][0], x - way[-1][1]
+        if len(way) > 2 and (dx or dy):
+            size = math.hypot(dx, dy)
+            out.append(((float(x), float(y)), (dx / size, dy / size)))
+    return out
+
+
+def gaps_closed(ink: np.ndarray, p: ShapeParameters) -> np.ndarray:
+    """Ink with straight strokes between loose ends that face each other over a small gap."""
+    ends = stroke_ends(ink, p.stroke_width, 1.5 * p.min_shape_scale * p.stroke_width)
+    out = ink.copy()
+    for i, j in bridged(ends, p.bridge_gap_scale * p.stroke_width):
+        out |= r.line_mask([ends[i][0], ends[j][0]], *ink.shape, max(1, round(p.stroke_width)))
+    return out
+
+
+def from_components(closed: np.ndarray, p: ShapeParameters) -> list[dict]:
+    """Outlines whose inside is cluttered: a stroke that encloses much is filled, thin things that stick out are cut off, the rest is fitted."""
+    least, n = p.min_shape_scale * p.stroke_width, math.ceil(max(p.heavy_width, 2 * p.stroke_width)) + 1
+    number, stats = r.labels(closed)
+    out = []
+    for i in range(1, len(stats)):
+        x, y, w, h, _ = (int(v) for v in stats[i])
+        if min(w, h) < 1.2 * least:
+            continue
+        part = np.pad(number[y : y + h, x : x + w] == i, n + 1)
+        whole = r.filled(part)
+        if whole.sum() - part.sum() < max(0.6 * part.sum(), 0.5 * least * least):
+            continue
+        body, sizes = r.labels(r.dilate(r.erode(whole, n), n))
+        if len(sizes) < 2:
+            continue
+        region = r.erode(body == 1 + int(sizes[1:, 4].argmax()), math.ceil(p.stroke_width / 2))
+        x0, y0, x1, y1 = x - n - 1, y - n - 1, x + w + n + 1, y + h + n + 1
+        cut = (slice(max(0, -y0), part.shape[0] - max(0, y1 - closed.shape[0])), slice(max(0, -x0), part.shape[1] - max(0, x1 - closed.shape[1])))
+        region = region[cut]
+        if not region.any():
+            continue
+        kind, score, scores, attributes = fitted(region)
+        if score >= p.fit_threshold:
+            out.append({"holes": frozenset(), "roi": (max(0, x0), max(0, y0), min(closed.shape[1], x1), min(closed.shape[0], y1)), "mask": region, "type": kind, "score": score, "scores": scores, "attributes": dict(attributes, from_component=True)})
+    return out
+
+
 def found_shapes(ink: np.ndarray, p: ShapeParameters) -> list[dict]:
-    """Closed outlines: the holes of the ink, alone and with neighbours across a thin stroke, fitted, the best kept."""
+    """Closed outlines: the holes of the ink, alone and with neighbours across a thin stroke, fitted, the best kept.
+
+    Pen gaps are bridged first; outlines whose inside is too cluttered for holes are sought among the strokes themselves.
+    """
     h, w = ink.shape
     least = p.min_shape_scale * p.stroke_width
+    ink = gaps_closed(ink, p) if p.bridge_gap_scale > 0 else ink
     half = r.odd(p.gap_close_scale * p.stroke_width, 3) // 2
     closed = r.erode(r.dilate(ink, half), half)
     number, stats = r.labels(~closed, eight=False)
@@ -397,6 +459,15 @@ def found_shapes(ink: np.ndarray, p: ShapeParameters) -> list[dict]:
         if any((c["holes"] < a["holes"] and a["score"] >= c["score"] - 0.03) or candidate_iou(c, a) > 0.9 for a in taken):
             continue
         taken.append(c)
+    for c in from_components(closed, p):
+        if any(candidate_iou(c, a) > 0.85 for a in taken):
+            continue
+        within = [a for a in taken if candidate_share(a, c) >= 0.9]
+        if within and sum(np.count_nonzero(a["mask"]) for a in within) > 0.8 * np.count_nonzero(c["mask"]):
+            if c["score"] <= max(a["score"] for a in within) + 0.02:
+                continue  # the union of shapes that overlap
+            taken = [a for a in taken if not any(a is x for x in within)]
+        taken.append(c)
     covered = frozenset().union(*(a["holes"] for a in taken)) if taken else frozenset()
     for i, c in single.items():
         if i not in covered and c["score"] >= p.min_region_score and not any(candidate_iou(c, a) > 0.9 for a in taken):
@@ -419,16 +490,70 @@ def _covers(c: dict, hole: np.ndarray, box) -> bool:
     return x0 <= px < x1 and y0 <= py < y1 and bool(c["mask"][py - y0, px - x0])
 
 
-def candidate_iou(a: dict, b: dict) -> float:
-    """IoU of two regions that lie in different windows of the page."""
+def _shared(a: dict, b: dict) -> int:
     (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = a["roi"], b["roi"]
     x0, y0, x1, y1 = max(ax0, bx0), max(ay0, by0), min(ax1, bx1), min(ay1, by1)
     if x0 >= x1 or y0 >= y1:
-        return 0.0
-    shared = np.count_nonzero(a["mask"][y0 - ay0 : y1 - ay0, x0 - ax0 : x1 - ax0] & b["mask"][y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0])
+        return 0
+    return np.count_nonzero(a["mask"][y0 - ay0 : y1 - ay0, x0 - ax0 : x1 - ax0] & b["mask"][y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0])
+
+
+def candidate_iou(a: dict, b: dict) -> float:
+    """IoU of two regions that lie in different windows of the page."""
+    shared = _shared(a, b)
     return shared / (np.count_nonzero(a["mask"]) + np.count_nonzero(b["mask"]) - shared)
 
 
+def candidate_share(a: dict, b: dict) -> float:
+    """The share of ``a`` that lies in ``b``."""
+    return _shared(a, b) / max(1, np.count_nonzero(a["mask"]))
+
+
+def on_outline(inner: np.ndarray, outer: np.ndarray, within: float) -> float:
+    """The share of an outline's points (about 120 of them) that lie on another outline."""
+    points = inner[:: max(1, len(inner) // 120)]
+    off = np.sqrt(((points[:, None] - outer[None]) ** 2).sum(axis=2)).min(axis=1)
+    return float((off <= within).mean()) if len(points) else 0.0
+
+
+def without_barbs(bones: np.ndarray, stroke: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A skeleton less its short spurs and the barbs of arrow heads, and where (x, y) such heads were.
+
+    A head is two short branches or more that end freely and start from one fork, the rest being over three times as long.
+    """
+    box = r.mask_box(bones)
+    spur = max(3, round(1.5 * stroke) + 1)
+    longest = max(8, round(6 * stroke), int(0.15 * (max(box[2] - box[0], box[3] - box[1]) if box else 0)))
+    left, heads = bones.copy(), []
+    for _ in range(2):
+        degree = r.neighbours(left)
+        forks, _ = r.labels(r.spread(degree >= 3, 1, 1))
+        pixels = set(zip(*(v.tolist() for v in np.nonzero(left)), strict=True))
+        by_fork: dict[int, list] = {}
+        for start in zip(*(v.tolist() for v in np.nonzero(degree == 1)), strict=True):
+            way, fork = [start], None
+            while fork is None and len(way) <= 10 * longest:
+                ahead = [q for dy, dx in r.NEIGHBOURS if (q := (way[-1][0] + dy, way[-1][1] + dx)) in pixels and q not in way]
+                if not ahead:
+                    break
+                fork = next((q for q in ahead if degree[q] >= 3), None)
+                if fork is None:
+                    way.append(ahead[0])
+            if fork is not None:
+                by_fork.setdefault(int(forks[fork]), []).append((way, fork))
+        gone = []
+        for branches in by_fork.values():
+            barbs = [b for b in branches if spur < len(b[0]) <= longest]
+            if len(barbs) > 1 and left.sum() > 3 * sum(len(w) for w, _ in barbs):
+                gone += [q for w, _ in barbs for q in w]
+                heads.append((barbs[0][1][1], barbs[0][1][0]))
+            gone += [q for w, _ in branches if len(w) <= spur for q in w]
+        if not gone:
+            break
+        left[tuple(np.array(gone).T)] = False
+    return left, heads
+
+
 def ring_mask(height: int, width: int, outlines, stroke: float) -> np.ndarray:
     """Pixels near outlines, which are erased before lines are sought."""
     out = np.zeros((height, width), bool)
@@ -468,14 +593,19 @@ def found_lines(ink: np.ndarray, ring: np.ndarray, p: LineParameters) -> tuple[l
             long = int(bones.sum())
             if not long or long / max(math.hypot(w, h), 1.0) > p.max_ratio or (not is_heavy and area / long > 2.5 * p.stroke_width):
                 continue
-            path = _drawn_out(r.farthest_path(bones), part)
+            bones, heads = without_barbs(bones, p.stroke_width)
+            path = r.farthest_path(bones)
+            if len(path) < 2:
+                continue
+            path = _drawn_out(path, part)
             loose = [(int(a), int(b)) for b, a in zip(*np.nonzero(r.neighbours(bones) == 1), strict=True)]
             ends = [path[0], path[-1]] + [e for e in loose if min(math.dist(e, q) for q in (path[0], path[-1])) > 2 * p.stroke_width]
-            if len(path) < 2 or len(ends) > p.max_ends:
+            if len(ends) > p.max_ends:
                 continue
+            tips = [min(ends, key=lambda e, q=q: math.dist(e, q)) for q in heads]
             move = lambda q, x=x, y=y: (float(q[0] + x), float(q[1] + y))
             points = r.simplified([move(q) for q in path], 0.6 * p.stroke_width)
-            out.append(Piece(points, [move(e) for e in ends], is_heavy and area / long >= 1.3 * p.stroke_width, float(long), area / long))
+            out.append(Piece(points, [move(e) for e in ends], is_heavy and area / long >= 1.3 * p.stroke_width, float(long), area / long, [move(q) for q in tips]))
             used[y : y + h, x : x + w] |= part
     near = lambda q: bool(ring[max(0, round(q[1]) - n) : round(q[1]) + n + 1, max(0, round(q[0]) - n) : round(q[0]) + n + 1].any())
     n = math.ceil(p.stroke_width) + 2
@@ -589,8 +719,8 @@ def elements(page: Page) -> dict:
     ring = ring_mask(h, w, [[(q["x"], q["y"]) for q in s["polygon"]] for s in shapes], sw)
     high = writing_height(page.ink & ~ring, sw)
     lines, writing = found_lines(page.ink, ring, LineParameters(sw, min_length=2.5 * high))
-    end = lambda p: {"point": point(p), "shape_id": None, "text_id": None, "attachment": "free", "is_head": False}
-    connections = [{"id": f"C{k}", "ord": k, "type": "line", "path": [point(q) for q in x.path], "endpoints": [end(q) for q in x.ends], "heavy": bool(x.heavy), "source": ["cv"], "length_px": round(x.length, 1), "locked_ends": False} for k, x in enumerate(lines, 1)]
+    end = lambda p, x: {"point": point(p), "shape_id": None, "text_id": None, "attachment": "free", "is_head": p in x.heads}
+    connections = [{"id": f"C{k}", "ord": k, "type": "arrow" if x.heads else "line", "path": [point(q) for q in x.path], "endpoints": [end(q, x) for q in x.ends], "heavy": bool(x.heavy), "source": ["cv"], "length_px": round(x.length, 1), "locked_ends": False} for k, x in enumerate(lines, 1)]
     texts = [{"id": f"T{k}", "ord": k, "text": None, "bbox": box(*b), "confidence": 0.5, "source": ["cv"]} for k, b in enumerate(found_texts(writing, ring, sw, high), 1)]
     return {"shapes": shapes, "texts": texts, "connections": connections, "text_height": high}
 
