@@ -10,7 +10,7 @@ from sketchgraph.functions import text as t
 from sketchgraph.model import as_json, from_json
 from sketchgraph.operators import control, evaluate, export, fusion, identity, model_json, summary, topology
 from sketchgraph.plans.oracle import _ATTACHED, _CROSSED, _HOLDERS, _LENGTH, _PARENTS, SCENE, _corners, _inside, _iou, _outline_distance, _points, _shared
-from sketchgraph.sources.scenes import order_scenes, predicted
+from sketchgraph.sources.scenes import order_scenes, outlined, predicted
 
 QUERIES, ORACLE_SQL = {}, {}
 Z = "z AS (SELECT 1) "
@@ -391,3 +391,56 @@ def detection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = order_scenes(spark, sf_dir).shapes
     found = predicted(s).select("image_id", "ord", F.when(F.col("ord") % 4 == 0, "line").when(F.col("ord") % 3 == 0, "circle").otherwise(F.col("type")).alias("class"), (F.col("confidence") + 0.02 * (F.col("ord") % 3)).alias("conf"), "bbox", F.array().cast(g.POINTS).alias("polygon"))
     return merged_detections(s.where("ord % 5 <> 0"), found).select("image_id", "id", "type", F.round("confidence", 3).alias("confidence"), F.array_join("source", ",").alias("source"), "cv_type", "action")
+
+
+_ROUND = "type IN ('ellipse', 'circle', 'region', 'unknown', 'scribble')"
+#: The outlines of shapes by type, corner by corner, their edges, and their areas.
+_OUTLINES = f"""corners AS (
+  SELECT image_id, id, ord, type, n, k, CASE WHEN {_ROUND} THEN x + w / 2 + w / 2 * cos(k * CAST(2 AS DOUBLE) * pi() / 48) WHEN type = 'triangle' THEN CASE k WHEN 0 THEN x + w / 2 WHEN 1 THEN x + w ELSE x END WHEN type = 'diamond' THEN CASE k WHEN 0 THEN x + w / 2 WHEN 1 THEN x + w WHEN 2 THEN x + w / 2 ELSE x END ELSE CASE WHEN k IN (1, 2) THEN x + w ELSE x END END AS px,
+    CASE WHEN {_ROUND} THEN y + h / 2 + h / 2 * sin(k * CAST(2 AS DOUBLE) * pi() / 48) WHEN type = 'triangle' THEN CASE k WHEN 0 THEN y ELSE y + h END WHEN type = 'diamond' THEN CASE k WHEN 0 THEN y WHEN 2 THEN y + h ELSE y + h / 2 END ELSE CASE WHEN k IN (2, 3) THEN y + h ELSE y END END AS py
+  FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT s.*, CASE WHEN {_ROUND} THEN 48 WHEN type = 'triangle' THEN 3 ELSE 4 END AS n FROM shapes s))
+), edges AS (SELECT a.image_id, a.id, a.ord, a.type, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_ FROM corners a JOIN corners b ON a.image_id = b.image_id AND a.id = b.id AND b.k = (a.k + 1) % a.n
+), areas AS (SELECT image_id, id, round(abs(sum(ax * by_ - ay * bx)) / 2, 6) AS area FROM edges GROUP BY ALL
+)"""
+_IN = "(count(*) FILTER ((e.ay > q.py) <> (e.by_ > q.py) AND q.px < e.ax + (q.py - e.ay) * (e.bx - e.ax) / nullif(e.by_ - e.ay, 0)) % 2 = 1 OR count(*) FILTER ((e.bx - e.ax) * (q.py - e.ay) - (e.by_ - e.ay) * (q.px - e.ax) = 0 AND q.px BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND q.py BETWEEN least(e.ay, e.by_) AND greatest(e.ay, e.by_)) > 0)"
+_T = "(CASE WHEN (e.bx - e.ax) * (e.bx - e.ax) + (e.by_ - e.ay) * (e.by_ - e.ay) > 0 THEN least(1, greatest(0, ((q.px - e.ax) * (e.bx - e.ax) + (q.py - e.ay) * (e.by_ - e.ay)) / ((e.bx - e.ax) * (e.bx - e.ax) + (e.by_ - e.ay) * (e.by_ - e.ay)))) ELSE 0 END)"
+_FAR = f"min(sqrt((q.px - e.ax - {_T} * (e.bx - e.ax)) * (q.px - e.ax - {_T} * (e.bx - e.ax)) + (q.py - e.ay - {_T} * (e.by_ - e.ay)) * (q.py - e.ay - {_T} * (e.by_ - e.ay))))"
+_CENTERS = "q AS (SELECT image_id, id, x + w / 2 AS px, y + h / 2 AS py, sqrt(w * w + h * h) / 2 + 40 AS reach FROM texts)"
+
+
+@query(SCENE + _OUTLINES + f""", q AS (SELECT c.*, s.x, s.y, s.w, s.h FROM corners c JOIN shapes s USING (image_id, id)),
+held AS (SELECT q.image_id, q.id, q.k, q.n, e.id AS p, {_IN} AS inside FROM q JOIN shapes b ON b.image_id = q.image_id AND b.id <> q.id AND b.x <= q.x + q.w AND q.x <= b.x + b.w AND b.y <= q.y + q.h AND q.y <= b.y + b.h
+  JOIN areas ca ON ca.image_id = q.image_id AND ca.id = q.id JOIN areas pa ON pa.image_id = q.image_id AND pa.id = b.id AND pa.area > CAST(1.05 AS DOUBLE) * ca.area JOIN edges e ON e.image_id = b.image_id AND e.id = b.id GROUP BY ALL),
+f AS (SELECT h.image_id, h.id, h.p, row_number() OVER (PARTITION BY h.image_id, h.id ORDER BY a.area, s.ord) AS r FROM (SELECT image_id, id, p FROM held GROUP BY ALL HAVING count(*) FILTER (inside) / max(n) >= 0.92) h JOIN areas a ON a.image_id = h.image_id AND a.id = h.p JOIN shapes s ON s.image_id = h.image_id AND s.id = h.p)
+SELECT image_id, id, p AS parent_id FROM f WHERE r = 1""")
+def outline_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment of shapes with the outlines of their types."""
+    return topology.parents(outlined(order_scenes(spark, sf_dir).shapes))
+
+
+@query(SCENE + _OUTLINES + f", {_CENTERS}, held AS (SELECT q.image_id, q.id, e.id AS s, max(e.ord) AS ord, {_IN} AS inside FROM q JOIN edges e ON e.image_id = q.image_id AND e.type <> 'scribble' GROUP BY q.image_id, q.id, e.id) SELECT image_id, id, s AS inside_shape_id FROM (SELECT h.image_id, h.id, h.s, row_number() OVER (PARTITION BY h.image_id, h.id ORDER BY a.area, h.ord) AS r FROM held h JOIN areas a ON a.image_id = h.image_id AND a.id = h.s WHERE inside) WHERE r = 1")
+def outline_text_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = order_scenes(spark, sf_dir)
+    return topology.text_holders(outlined(s.shapes), s.texts)
+
+
+@query(SCENE + _OUTLINES + f", {_CENTERS}, near AS (SELECT q.image_id, q.id, e.id AS s, max(e.ord) AS ord, max(q.reach) AS reach, {_IN} AS inside, {_FAR} AS d FROM q JOIN edges e ON e.image_id = q.image_id AND e.type <> 'scribble' GROUP BY q.image_id, q.id, e.id) SELECT image_id, id, string_agg(s, ',' ORDER BY k) AS near FROM (SELECT *, row_number() OVER (PARTITION BY image_id, id ORDER BY round(d, 6), ord) AS k FROM near WHERE NOT inside AND d <= reach) WHERE k <= 3 GROUP BY ALL")
+def outline_text_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = order_scenes(spark, sf_dir)
+    return topology.near_shapes(outlined(s.shapes), s.texts, s.images).select("image_id", "id", F.array_join("near_shape_ids", ",").alias("near"))
+
+
+@query(SCENE + _OUTLINES + f", q AS (SELECT image_id, connection_id, pos, x AS px, y AS py FROM ends), side AS (SELECT q.image_id, q.connection_id, q.pos, e.id AS s, max(e.ord) AS ord, {_IN} AS inside, {_FAR} AS d FROM q JOIN edges e ON e.image_id = q.image_id GROUP BY q.image_id, q.connection_id, q.pos, e.id) SELECT image_id, connection_id, pos, s AS shape_id, CASE WHEN d <= 8 THEN 'boundary' ELSE 'inside' END AS side FROM (SELECT x.*, row_number() OVER (PARTITION BY x.image_id, x.connection_id, x.pos ORDER BY CASE WHEN d <= 8 THEN 0 ELSE 1 END, a.area, x.ord) AS r FROM side x JOIN areas a ON a.image_id = x.image_id AND a.id = x.s WHERE d <= 8 OR inside) WHERE r = 1")
+def outline_end_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = order_scenes(spark, sf_dir)
+    return topology.end_shapes(topology.ends_of(s.connections), outlined(s.shapes), s.images)
+
+
+@query(SCENE + _OUTLINES + f""", {_points(2).replace("points AS", "steps AS", 1)}, q AS (SELECT image_id, id, k, px, py, ax AS x0, ay AS y0, bx AS x1, by_ AS y1 FROM steps),
+signs AS (SELECT q.image_id, q.id AS connection_id, e.id AS shape_id, q.k, q.px, q.py, x0, y0, x1, y1, count(*) FILTER ((e.ay > q.py) <> (e.by_ > q.py) AND q.px < e.ax + (q.py - e.ay) * (e.bx - e.ax) / nullif(e.by_ - e.ay, 0)) % 2 = 1 AND count(*) FILTER ((e.bx - e.ax) * (q.py - e.ay) - (e.by_ - e.ay) * (q.px - e.ax) = 0 AND q.px BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND q.py BETWEEN least(e.ay, e.by_) AND greatest(e.ay, e.by_)) = 0 AS sign
+  FROM q JOIN edges e ON e.image_id = q.image_id GROUP BY ALL)
+SELECT DISTINCT image_id, connection_id, shape_id FROM (SELECT *, lead(sign) OVER (PARTITION BY image_id, connection_id, shape_id ORDER BY k) AS after FROM signs)
+WHERE sign <> after AND sqrt((px - x0) * (px - x0) + (py - y0) * (py - y0)) > 12 AND sqrt((px - x1) * (px - x1) + (py - y1) * (py - y1)) > 12""")
+def outline_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = order_scenes(spark, sf_dir)
+    return topology.crossings(s.with_(shapes=outlined(s.shapes))).select("image_id", "connection_id", "shape_id")

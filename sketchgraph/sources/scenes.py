@@ -62,6 +62,11 @@ def order_scenes(spark: SparkSession, sf_dir: str) -> Scene:
     return Scene(images, shapes, texts, connections)
 
 
+def outlined(shapes: DataFrame) -> DataFrame:
+    """Shapes with the outlines of their types: round, three-cornered, tilted or the box."""
+    return shapes.withColumn("polygon", outline(F.col("bbox"), F.col("type")))
+
+
 def predicted(shapes: DataFrame) -> DataFrame:
     """A second reading of the boxes: every seventh is missed, others lie up to two pixels to the right."""
     shift = (F.col("ord") % 3).cast("double")
