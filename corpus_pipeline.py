@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality classifier, near duplicates, benchmark decontamination, secret scans, packing."""
+"""The corpus pipeline: quality classifier, near duplicates, benchmark decontamination, secret scans, packing.
+
+Every stage reads all rows and whole texts that the one before it kept; a null or empty text is an empty document, a null
+doc_id stays null, repeated rows are rows of their own, columns beyond doc_id and text (whatever their names) are carried along
+unread, and an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +19,15 @@ from sketchgraph.llm.secrets import redact_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
+    """Documents that the classifier scores 0.5 or more; all of them where no rows of both labels are left to learn from."""
     return good_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more): the one with the least doc_id (null last)."""
+    """One document of each group of near duplicates (similarity 0.8 or more): the one with the least doc_id (null last).
+
+    Documents without words are like nothing else and all stay.
+    """
     name = "row"
     while name in docs.columns:
         name += "_"
@@ -29,17 +37,17 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item, items without an id included; all where the benchmark is empty."""
     return clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
+    """All documents, secrets in their texts replaced; null texts stay null, n_chars counts the new text."""
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their places in sequences of at most 4096 tokens."""
+    """Each document's pieces with their places in sequences of at most 4096 tokens; an empty document is its end alone."""
     return packed_documents(docs)
 
 
