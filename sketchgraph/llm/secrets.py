@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate and its context.
 
-Candidates are runs of 16 characters or more of ``[A-Za-z0-9+/_=.-]`` with a digit. The network (numpy; one convolution,
+Candidates are runs of 16 characters or more of ``[A-Za-z0-9+/_=.-]`` with a digit, and runs of 8 or more with letters of
+both cases or a digit that stand behind a word such as ``pwd:`` or ``Bearer``. The network (numpy; one convolution,
 maximum pooling over the candidate and over its context, one logistic output) slides over candidates longer than its window,
 the highest probability counting, and is trained on labelled findings that
 ``labelled_findings`` writes from rules with a fixed seed; its output is calibrated by Platt scaling on findings kept apart,
@@ -28,6 +29,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+LED = re.compile(r"""(?:\b(?:pwd|pass|auth|credentials?|private|client|access|key)["']?\x20*[:=]\x20*["']?|\bbearer\x20+)([A-Za-z0-9+/_.=-]{8,})""", re.IGNORECASE | re.ASCII)
+LEADS = (b"pwd", b"pass", b"auth", b"credential", b"private", b"client", b"access", b"key", b"bearer")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 DIGIT = re.compile(rb"[0-9]")
 
@@ -53,14 +56,14 @@ def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, data: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Runs that may be secrets and overlap no span found already."""
-    if not DIGIT.search(data):
-        return []
-    found = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(c.isdigit() for c in m[0]) and not any(s < b and a < e for s, _, e in taken):
-            found.append((a, b))
-    return found
+    free = lambda a, b: not any(s < b and a < e for s, _, e in taken)
+    found = [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0]) and free(*m.span())] if DIGIT.search(data) else []
+    lower = data.lower()
+    if any(n in lower for n in LEADS):
+        known = set(found)
+        mixed = lambda run: any(c.isdigit() for c in run) or (run.lower() != run and run.upper() != run)
+        found += [m.span(1) for m in LED.finditer(text) if mixed(m[1]) and m.span(1) not in known and free(*m.span(1)) and not any(a <= m.start(1) < b for a, b in known)]
+    return sorted(found)
 
 
 def _char_classes() -> np.ndarray:
@@ -142,13 +145,22 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{word().capitalize()}{rng.integers(1, 99)}", lambda: "-".join(pick(string.digits, 4) for _ in range(4)), lambda: "...." * 5 + str(rng.integers(1, 400)),
     )
     leads = ("key", "auth", "Bearer", "credential", "client", "access", "private", "pass", "pwd")
+    mixed = string.ascii_letters + string.digits * 3
+    short_secrets = (lambda: pick(mixed, int(rng.integers(8, 16))), lambda: f"{pick(string.ascii_uppercase, 1)}{pick(mixed, int(rng.integers(5, 9)))}{pick(string.digits, 2)}", lambda: pick(string.ascii_letters, int(rng.integers(16, 30))))
+    short_harmless = (
+        lambda: f"{word()}{word()}{rng.integers(1, 30)}", lambda: f"{word().capitalize()}{word().capitalize()}", lambda: f"{word()}-{rng.integers(1, 30)}-{word()}", lambda: f"{word()}_{word()}.{rng.integers(1, 9)}",
+        lambda: f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}", lambda: f"{rng.integers(1, 99)}.{rng.integers(10, 99)}.{rng.integers(100, 999)}", lambda: f"{word().capitalize()}.{word()}.{word()}", lambda: f"{rng.integers(1, 99)}/{rng.integers(1000, 99999)}/{word()}",
+    )
     out = []
     for k in range(n):
         label = k % 2
-        kinds = secrets if label else harmless
+        short = rng.random() < 0.25
+        kinds = (short_secrets if label else short_harmless) if short else secrets if label else harmless
         run = kinds[rng.integers(len(kinds))]()
         lead = " ".join(word() for _ in range(rng.integers(0, 6)))
-        if label and rng.random() < 0.4:
+        if short:
+            lead += " " + str(rng.choice(leads)) + str(rng.choice([": ", " = ", "=", ":"]))
+        elif label and rng.random() < 0.4:
             lead += " " + str(rng.choice(leads)) + str(rng.choice([": ", " = ", " ", '="']))
         lead += str(rng.choice(["", " ", " ", '"', "("]))
         tail = str(rng.choice(["", " ", '" ', ") ", ", ", ". "])) + " ".join(word() for _ in range(rng.integers(0, 4)))
@@ -193,7 +205,7 @@ def trained(n: int = 6000, seed: int = 11, epochs: int = 12, recall: float = REC
         shift -= 0.1 * float((p - y).mean())
     net.slope, net.shift = slope, shift
     p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -60, 60)))
-    net.threshold = max(0.5, float(np.quantile(p[y == 1], 1 - recall)))
+    net.threshold = float(np.quantile(p[y == 1], 1 - recall, method="lower"))
     return net
 
 
@@ -219,8 +231,9 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def secret_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_network) of every row of ``docs`` (doc_id long, text).
 
-    Spans are kind:start:end in code points, end exclusive, by start, then kind. A null text is empty and has no spans;
-    repeated rows give a row each; other columns are ignored; an empty table gives no rows.
+    Spans are kind:start:end in code points, end exclusive, by start, then kind. A null text is empty and has no spans; texts
+    are read whole; a null doc_id stays null; repeated rows give a row each; other columns are ignored; an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
