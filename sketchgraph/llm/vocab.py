@@ -63,17 +63,18 @@ def count_units(docs: DataFrame, split: Callable[[], Split], counted: Column | N
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out():
-            units: tuple[Counter, Counter] = (Counter(), Counter())
-            for words, mine in zip(seen, units, strict=True):
-                for word, n in words.items():
-                    for u in of.units(word):
-                        mine[u] += n
+            for words, is_counted in zip(seen, (False, True), strict=True):
+                units = words
+                if not of.whole:
+                    units = Counter()
+                    for word, n in words.items():
+                        for u in of.units(word):
+                            units[u] += n
+                found, times = list(units), list(units.values())
+                for at in range(0, len(found), 65536):
+                    part, n = pa.array(found[at : at + 65536], pa.binary()), pa.array(times[at : at + 65536], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part, n, n if is_counted else pa.array(np.zeros(len(n), np.int64))], names=["unit", "n_all", "n"])
                 words.clear()
-            both = units[0] + units[1] if units[0] else units[1]
-            found = list(both)
-            for at in range(0, len(found), 65536):
-                part = found[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(list(map(both.__getitem__, part)), pa.int64()), pa.array([units[1].get(u, 0) for u in part], pa.int64())], names=["unit", "n_all", "n"])
 
         for batch in it:
             for data, kept in rows_of(batch):
