@@ -224,8 +224,16 @@ def resampled(path: Column, step) -> Column:
 
         return F.when(total > 0, F.transform(F.sequence(F.lit(0), n - 1), place)).otherwise(F.slice(path, 1, 1))
 
-    counted = lambda at: F.struct(at.alias("at"), F.greatest(F.lit(2), (F.element_at(at, -1) / least).cast("int") + 1).alias("n"))
-    return F.when(F.size(path) < 2, path).otherwise(let(let(path_lengths(path), counted), spread))
+    many = lambda total: F.greatest(F.lit(2), (total / least).cast("int") + 1)
+    counted = lambda at: F.struct(at.alias("at"), many(F.element_at(at, -1)).alias("n"))
+    a, b = F.get(path, F.lit(0)), F.get(path, F.lit(1))
+
+    def straight(v):
+        f = lambda i: F.least(F.lit(1.0), i * v["long"] / (v["n"] - 1) / v["long"])
+        return F.when(v["long"] > 0, F.transform(F.sequence(F.lit(0), v["n"] - 1), lambda i: point(a["x"] + f(i) * (b["x"] - a["x"]), a["y"] + f(i) * (b["y"] - a["y"])))).otherwise(F.slice(path, 1, 1))
+
+    sized = let(F.hypot(b["x"] - a["x"], b["y"] - a["y"]), lambda long: F.struct(long.alias("long"), many(long).alias("n")))
+    return F.when(F.size(path) < 2, path).when(F.size(path) == 2, let(sized, straight)).otherwise(let(let(path_lengths(path), counted), spread))
 
 
 def to_original(x: Column, y: Column, rotation: Column, width: Column, height: Column, scale: Column, crop_x: Column, crop_y: Column) -> Column:

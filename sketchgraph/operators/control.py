@@ -29,10 +29,14 @@ class Stage:
 
 @dataclass
 class Progress:
-    """Facts established so far and a line for each step taken."""
+    """Facts established so far and a line for each step taken.
+
+    ``settle`` works a step's scene out (by writing its tables, say), so that what fails in execution fails in its own step.
+    """
 
     facts: set[str] = field(default_factory=set)
     trace: list[tuple[int, str, str]] = field(default_factory=list)
+    settle: Callable[[Scene], Scene] | None = None
 
     def ready(self, stage: Stage) -> bool:
         return "stop" not in self.facts and stage.requires <= self.facts
@@ -44,7 +48,8 @@ class Progress:
             self.trace.append((step, stage.name, "not ready"))
             return scene
         try:
-            scene = stage.run(scene)
+            after = stage.run(scene)
+            scene = self.settle(after) if self.settle else after
         except Exception as error:  # noqa: BLE001  a stage's failure must not end the others
             self.trace.append((step, stage.name, f"failed: {type(error).__name__}"))
             return scene
@@ -53,8 +58,8 @@ class Progress:
         return scene
 
 
-def run_plan(stages: Iterable[Stage], scene: Scene) -> tuple[Scene, Progress]:
-    progress = Progress()
+def run_plan(stages: Iterable[Stage], scene: Scene, settle: Callable[[Scene], Scene] | None = None) -> tuple[Scene, Progress]:
+    progress = Progress(settle=settle)
     for stage in stages:
         scene = progress.take(stage, scene)
     return scene, progress

@@ -161,7 +161,7 @@ def crossings(scene: Scene, strokes: float = ATTACH_STROKES) -> DataFrame:
     """(image_id, connection_id, shape_id): outlines that a connector's path crosses away from its ends."""
     holder = _sides(scene.shapes.where(F.size("polygon") >= 3).withColumn("area", F.lit(0.0)), "s_")
     paths = scene.connections.where(F.size("path") >= 2).join(scene.images.select("image_id", "stroke_width", attach_tolerance(strokes).alias("tol")), "image_id")
-    paths = paths.select("image_id", F.col("id").alias("connection_id"), "tol", "endpoints", g.box_of_points(F.col("path")).alias("box"), g.resampled(F.col("path"), F.greatest(F.lit(2.0), F.col("stroke_width"))).alias("points"))
+    paths = paths.select("image_id", F.col("id").alias("connection_id"), "tol", "endpoints", "path", g.box_of_points(F.col("path")).alias("box"), F.greatest(F.lit(2.0), F.col("stroke_width")).alias("step"))
     pairs = paths.join(holder, "image_id").where(g.intersection(g.expand(F.col("s_bbox"), F.col("tol")), g.expand(F.col("box"), F.lit(1.0))) > 0)
 
     def away(p):
@@ -171,9 +171,12 @@ def crossings(scene: Scene, strokes: float = ATTACH_STROKES) -> DataFrame:
         b, x, y = F.col("s_bbox"), p["x"], p["y"]
         return (x > b["x"]) & (x < b["x"] + b["w"]) & (y > b["y"]) & (y < b["y"] + b["h"])
 
-    signs = F.when(F.col("s_boxy"), F.transform("points", strictly)).otherwise(g.let(g.edges_of(F.col("s_polygon")), lambda e: F.transform("points", lambda p: strictly(p) & g.within(e, p["x"], p["y"]) & ~g.on_edge(e, p["x"], p["y"]))))
-    flips = g.let(signs, lambda v: F.exists(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), lambda i: (F.get(v, i - 1) != F.get(v, i)) & away(F.get(F.col("points"), i - 1))))
-    return pairs.where(flips).select("image_id", "connection_id", F.col("s_id").alias("shape_id"), F.col("s_ord").alias("shape_ord"))
+    def crossed(points):
+        signs = F.when(F.col("s_boxy"), F.transform(points, strictly)).otherwise(g.let(g.edges_of(F.col("s_polygon")), lambda e: F.transform(points, lambda p: strictly(p) & g.within(e, p["x"], p["y"]) & ~g.on_edge(e, p["x"], p["y"]))))
+        return g.let(signs, lambda v: F.exists(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), lambda i: (F.get(v, i - 1) != F.get(v, i)) & away(F.get(points, i - 1))))
+
+    # the path's points are made after the join, which would carry them about otherwise
+    return pairs.where(g.let(g.resampled(F.col("path"), F.col("step")), crossed)).select("image_id", "connection_id", F.col("s_id").alias("shape_id"), F.col("s_ord").alias("shape_ord"))
 
 
 def with_attachment(scene: Scene, strokes: float = ATTACH_STROKES) -> Scene:

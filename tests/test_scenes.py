@@ -175,6 +175,14 @@ def test_planner():
     assert control.chosen_responder("x", {"*": "none"}, {}, ["m"]) is None and control.chosen_responder("x", {}, {}, ["m"]) == "m"
 
 
+def test_a_step_that_fails_in_execution_is_skipped(scene):
+    broken = control.Stage("broken", lambda s: s.with_(texts=s.texts.withColumn("text", F.raise_error(F.lit("no")).cast("string"))), provides=frozenset({"x"}))
+    fine = control.Stage("fine", lambda s: s.with_(texts=s.texts.withColumn("text", F.lit("y"))), provides=frozenset({"y"}))
+    out, progress = control.run_plan([broken, fine], scene, topology.kept)
+    assert [t[2].split(":")[0] for t in progress.trace] == ["failed", "done"] and progress.facts == {"y"}
+    assert {r["text"] for r in out.texts.collect()} == {"y"}
+
+
 def test_generated(spark):
     rows = generated(spark, 20, seed=1, val_fraction=0.25).collect()
     assert sum(r["split"] == "val" for r in rows) == 5 and drawing(7) == drawing(7)
