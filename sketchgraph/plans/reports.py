@@ -104,7 +104,8 @@ WHERE t.ord = 1 OR h.id IS NOT NULL OR n.id IS NOT NULL OR b.id IS NOT NULL OR E
 def target_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second text taken as prose: it stays only where the drawing uses it."""
     s = order_scenes(spark, sf_dir)
-    s = topology.updated(s.with_(texts=s.texts.withColumn("source", F.when(F.col("ord") == 2, F.array(F.lit("para"))).otherwise(F.array(F.lit("cv"))))))
+    s = topology.with_placement(s.with_(texts=s.texts.withColumn("source", F.when(F.col("ord") == 2, F.array(F.lit("para"))).otherwise(F.array(F.lit("cv"))))))
+    s = topology.with_labels(topology.kept(topology.pruned(topology.with_attachment(s))))
     return summary.target_texts(s.texts, s.connections).select("image_id", "id")
 
 

@@ -229,12 +229,23 @@ def duck():
     return db
 
 
+@pytest.fixture(scope="module")
+def answers(spark):
+    """All queries' results, several queries at a time: each alone is too small to keep the cores busy."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sketchgraph.plans.queries import QUERIES
+
+    with ThreadPoolExecutor(4) as pool:
+        return {n: pool.submit(lambda n=n: QUERIES[n](spark, WHOLE).toPandas()) for n in _registered()}
+
+
 @pytest.mark.skipif(not Path(WHOLE).exists(), reason="test tables are not here")
 @pytest.mark.parametrize("name", _registered())
-def test_queries_match_their_sql(spark, duck, name):
-    from sketchgraph.plans.queries import ORACLE_SQL, QUERIES
+def test_queries_match_their_sql(answers, duck, name):
+    from sketchgraph.plans.queries import ORACLE_SQL
 
-    got, want = QUERIES[name](spark, WHOLE).toPandas(), duck.sql(ORACLE_SQL[name]).df()
+    got, want = answers[name].result(), duck.sql(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     key = lambda df: sorted(tuple("" if v is None or v != v else str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
