@@ -25,7 +25,7 @@ from .common import Table, small_batches
 HOT_EVENTS = 500_000
 #: Bytes whose events are held as arrays at once, and distinct events that a task holds before it passes them on.
 SLICE, HELD = 1 << 19, 1_000_000
-#: Bits of a symbol in a code; a text's end is the symbol after all bytes.
+#: Bits of a symbol in a code; a text's end is the symbol after all bytes, where a model does not name another.
 SYMBOL_BITS, END = 9, 256
 
 
@@ -36,8 +36,8 @@ class Running:
     slices of positions; the positions of padding between texts hold -1.
     """
 
-    def __init__(self, texts: list[bytes], order: int):
-        pad = b" " * order
+    def __init__(self, texts: list[bytes], order: int, end: int = END):
+        pad, self.end = b" " * order, end
         self.order, self.data = order, np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(lengths + order) - order
@@ -56,7 +56,7 @@ class Running:
             codes <<= SYMBOL_BITS
             codes |= part[self.order :]
             here = _within(self.ends, at, m)
-            codes[here] = (codes[here] >> SYMBOL_BITS) << SYMBOL_BITS | END
+            codes[here] = (codes[here] >> SYMBOL_BITS) << SYMBOL_BITS | self.end
             codes[_within(self.padding, at, m)] = -1
             yield at, codes
 
@@ -101,7 +101,7 @@ def text_blocks(it: Iterator[pa.RecordBatch], column: int, words: Callable[[byte
             yield batch.slice(start, len(held)), held
 
 
-def count_events(rows: DataFrame, order: int, words: Callable[[bytes], list[bytes]], empty: bool) -> DataFrame:
+def count_events(rows: DataFrame, order: int, words: Callable[[bytes], list[bytes]], empty: bool, end: int = END) -> DataFrame:
     """(grp, code, n_all, n) of all events of ``rows`` (grp string, counted boolean, text binary); n is of counted rows.
 
     With ``empty`` a text without words has the event of its end, otherwise none.
@@ -125,7 +125,7 @@ def count_events(rows: DataFrame, order: int, words: Callable[[bytes], list[byte
                 if text or empty:
                     dealt[grp, counted].append(text)
             for (grp, counted), mine in dealt.items():
-                for _, codes in Running(mine, order).slices():
+                for _, codes in Running(mine, order, end).slices():
                     found, n = np.unique(codes, return_counts=True)
                     kept = slice(int(found[0] < 0), None)
                     held[grp].append((found[kept], n[kept], n[kept] if counted else np.zeros(len(found[kept]), np.int64)))
@@ -162,12 +162,12 @@ def hot_events(model: DataFrame, most: int | None = None) -> dict[str, Table]:
 class Summer:
     """Totals of hot values over texts, and the other events of each text."""
 
-    def __init__(self, hot: dict[str, Table], order: int):
-        self.hot, self.order = hot, order
+    def __init__(self, hot: dict[str, Table], order: int, end: int = END):
+        self.hot, self.order, self.end = hot, order, end
         self.none = Table(np.empty(0, np.int64), np.empty(0))
 
     def __call__(self, grp: str, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        running, table = Running(texts, self.order), self.hot.get(grp, self.none)
+        running, table = Running(texts, self.order, self.end), self.hot.get(grp, self.none)
         totals = np.zeros(len(texts))
         codes_of, owner_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at, codes in running.slices():

@@ -1,7 +1,7 @@
 """Quality rules: counts over a text and bands of n-gram perplexity by language.
 
-The model is a modified Kneser-Ney model of order four over the bytes of running text (words with a space between, and an
-end), one for each language. Spark counts the n-grams of all documents and deals them by language and last byte of their
+The model is a modified Kneser-Ney model of order four over the bytes of running text (words with a space after each), one
+for each language. Spark counts the n-grams of all documents and deals them by language and last byte of their
 context: all longer contexts that an n-gram backs off to lie in its shard. Counts of counts and the continuation counts of
 single symbols are summed over a language's shards; then each shard's probabilities and back-off weights are put in arrays
 sorted by hash, from which the n-grams that occur get their values once. No task and no driver holds a whole model.
@@ -25,8 +25,8 @@ from .events import SYMBOL_BITS, Summer, count_events, hot_events, rare_event_su
 from .text_stats import base_counts
 from .vocab import with_row_ids
 
-#: Order of the n-grams, and symbols: all bytes and a text's end.
-ORDER, SYMBOLS = 4, 257
+#: Order of the n-grams, and symbols: all bytes, of which the space also ends a text.
+ORDER, SYMBOLS, END = 4, 256, 0x20
 #: Interquartile half-ranges below and above the median of log perplexity that a language's band spans: Tukey's fences, 1.5
 #: interquartile ranges beyond the quartiles, which a normal spread leaves with 0.7 % of its values.
 BELOW, ABOVE = 4.0, 4.0
@@ -166,12 +166,12 @@ def ngram_model(counts: DataFrame) -> DataFrame:
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl) of every row; log_ppl is null without words."""
     rows = with_row_ids(docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), F.col("lang"))
-    counts = write_table(count_events(rows.select(F.col("lang").alias("grp"), F.lit(True).alias("counted"), "text"), ORDER - 1, bytes.split, empty=False), "ngrams")
+    counts = write_table(count_events(rows.select(F.col("lang").alias("grp"), F.lit(True).alias("counted"), "text"), ORDER - 1, bytes.split, empty=False, end=END), "ngrams")
     model = write_table(ngram_model(counts), "ngram-values")
     hot = docs.sparkSession.sparkContext.broadcast(hot_events(model))
 
     def make():
-        hashes, add = WordHashes(), Summer(hot.value, ORDER - 1)
+        hashes, add = WordHashes(), Summer(hot.value, ORDER - 1, END)
 
         def block(rows):
             split = [r[-1].split() for r in rows]

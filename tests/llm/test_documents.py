@@ -263,7 +263,7 @@ def naive_kneser_ney(texts, order=quality_rules.ORDER):
     top = Counter()
     for text in texts:
         history = (32,) * (order - 1)
-        for s in [*b" ".join(text.encode().split()), events.END]:
+        for s in [*b" ".join(text.encode().split()), quality_rules.END]:
             top[history[1 - order :] + (s,)] += 1
             history += (s,)
     counts = {order: top}
@@ -293,7 +293,7 @@ def shard_of(codes, counts, last):
 
 def test_kneser_ney_matches_the_definition():
     texts = ["the then he ten", "the hen then", "été A1 A1", "he"]
-    running = events.Running([t.encode() for t in texts], quality_rules.ORDER - 1)
+    running = events.Running([t.encode() for t in texts], quality_rules.ORDER - 1, quality_rules.END)
     codes = np.concatenate([c for _, c in running.slices()])
     codes, counts = np.unique(codes[codes >= 0], return_counts=True)
     shards = {x: shard_of(codes, counts, x) for x in set(((codes >> events.SYMBOL_BITS) & 255).tolist())}
@@ -325,7 +325,7 @@ def test_verdicts_match_brute_force(spark, monkeypatch, hot):
         for i, t in mine:
             if t.split():
                 history, logs = (32,) * (quality_rules.ORDER - 1), []
-                for s in [*b" ".join(t.encode().split()), events.END]:
+                for s in [*b" ".join(t.encode().split()), quality_rules.END]:
                     logs.append(np.log(p(history[1 - quality_rules.ORDER :], s)))
                     history += (s,)
                 score[i] = -sum(logs) / len(logs)

@@ -60,9 +60,18 @@ def empty(spark, tmp_path_factory):
 SIZES = {"op2_html_text": "pages", "op5_chat_formatting": None, "op6_best_fit_packing": None}
 
 
+@pytest.fixture(scope="module")
+def answers(spark, odd, empty):
+    """Every query's rows over both folders, several queries at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        return {(n, f): pool.submit(lambda n=n, f=f: QUERIES[n](spark, f).collect()) for n in QUERIES for f in (odd, empty)}
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_queries_over_odd_and_empty_tables(spark, odd, empty, name):
-    rows = QUERIES[name](spark, odd).collect()
+def test_queries_over_odd_and_empty_tables(answers, odd, empty, name):
+    rows = answers[name, odd].result()
     of = SIZES.get(name, "documents")
     if of:
         assert len(rows) == len(rows_of(of))
@@ -70,7 +79,7 @@ def test_queries_over_odd_and_empty_tables(spark, odd, empty, name):
         assert sorted(r[key] is None for r in rows) == sorted(r[0] is None for r in rows_of(of))
     else:
         assert rows
-    assert QUERIES[name](spark, empty).count() == 0
+    assert not answers[name, empty].result()
 
 
 def test_stages_over_odd_and_empty_tables(spark, odd, empty):
