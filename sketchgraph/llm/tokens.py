@@ -62,7 +62,8 @@ class PreTokens:
         """The ids of one pre-token, from the library's BPE model."""
         if piece in self.special:
             return [self.special[piece]]
-        return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        written = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tok.model.tokenize(written)]
 
 
 class PieceWords:
@@ -82,6 +83,8 @@ class PieceWords:
         return text.lower().encode().split()
 
     def units(self, word: bytes) -> tuple[bytes, ...]:
+        if word.isalpha():  # a run of ASCII letters is one pre-token
+            return (word,)
         return (word[1:],) if word[:1] == self.MARK else self.of_word[word]
 
 
@@ -91,7 +94,8 @@ class IdBytes:
     def __init__(self, path: str):
         self.pre = PreTokens(path)
         self.of_piece = Memo(lambda p: array("I", self.pre.ids(p)).tobytes())
-        self.of_word = Memo(lambda w: b"".join(map(self.of_piece.__getitem__, PIECES.findall(w))))
+        one = self.of_piece.f  # a run of ASCII letters is one pre-token and needs no memo of its own
+        self.of_word = Memo(lambda w: one(w) if w.isascii() and w.isalpha() else b"".join(map(self.of_piece.__getitem__, PIECES.findall(w))))
 
     def __call__(self, data: bytes) -> bytes:
         text = data.decode("utf-8", "replace")

@@ -110,11 +110,17 @@ class _Numbers(dict):
         self.sums, self.others = array("d"), {}
 
     def __missing__(self, word: bytes) -> int:
-        units, known = self.of.units(word), self.known
-        found = [known[u] for u in units if u in known]
         number = self[word] = len(self)
+        units, known = self.of.units(word), self.known
         self.sums.append(len(units))
-        self.sums.extend(found[0] if len(found) == 1 else map(sum, zip(*found, strict=True)) if found else self.zeros)
+        if len(units) == 1:
+            values = known.get(units[0])
+            self.sums.extend(self.zeros if values is None else values)
+            if values is None:
+                self.others[number] = units
+            return number
+        found = [known[u] for u in units if u in known]
+        self.sums.extend(map(sum, zip(*found, strict=True)) if found else self.zeros)
         if len(found) < len(units):
             self.others[number] = [u for u in units if u not in known]
         return number
