@@ -129,7 +129,8 @@ def attached_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def connector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.labels(topology.with_attachment(order_scenes(spark, sf_dir)))
+    s = order_scenes(spark, sf_dir)
+    return topology.labels(s, topology.texts_at_ends(s))
 
 
 @query

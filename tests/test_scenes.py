@@ -353,3 +353,16 @@ def test_json_spans_follow_brackets_only_within_values():
     assert model_json.extracted('{"a": [1, 2} then {"b": 1}') is None and model_json.extracted('see // {x\n {"a":1}') is None
     assert model_json.extracted('[1] {"b":2}') == "[1]" and model_json.extracted('{"a":1} {') == '{"a":1}'
     assert model_json.extracted('{"a": "x\\"}"}') == '{"a":"x\\"}"}'
+
+
+def _reads(df, table):
+    """How often a plan reads a table."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"Relation [{table[0]}_")
+
+
+def test_labels_need_neither_shapes_nor_crossings(spark, scene):
+    import __spark_entry__ as entry
+
+    assert _reads(entry.queries()["connector_labels"](spark, SF), "lineitem") == 1 + 1  # paths, and ends
+    ends = topology.with_attachment(scene).connections.select("image_id", F.explode("endpoints.text_id").alias("id")).where("id is not null").distinct()
+    assert sorted(map(tuple, topology.texts_at_ends(scene).collect())) == sorted(map(tuple, ends.collect()))
