@@ -366,3 +366,32 @@ def test_labels_need_neither_shapes_nor_crossings(spark, scene):
     assert _reads(entry.queries()["connector_labels"](spark, SF), "lineitem") == 1 + 1  # paths, and ends
     ends = topology.with_attachment(scene).connections.select("image_id", F.explode("endpoints.text_id").alias("id")).where("id is not null").distinct()
     assert sorted(map(tuple, topology.texts_at_ends(scene).collect())) == sorted(map(tuple, ends.collect()))
+
+
+def test_boxes_are_scored_by_their_sides_as_by_their_pixels(spark):
+    from sketchgraph.functions.raster import mask_iou, shape_mask
+
+    rng = random.Random(5)
+    boxes = lambda n: [(i // 8, f"S{i % 8}", i % 8, tuple(map(float, (rng.randint(-30, 700), rng.randint(-30, 500), rng.choice([0, 1, 40, 333]), rng.choice([0, 3, 60, 250]))))) for i in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, "image_id long, id string, ord int, bbox struct<x:double,y:double,w:double,h:double>").withColumn("polygon", g.outline(F.col("bbox"), F.lit("rectangle")))
+    a, b = boxes(160), boxes(160)
+    images = spark.createDataFrame([(i, 800.0, 450.0) for i in range(20)], "image_id long, width double, height double")
+    rows = evaluate.mask_scores(frame(a), frame(b), images).collect()
+    corners = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+    mask = lambda v: shape_mask(corners(*v), v, int(450 * 0.75) + 2, int(800 * 0.75) + 2, 0.75)
+    true, read = ({(r[0], r[1]): mask(r[3]) for r in x} for x in (a, b))
+    assert len(rows) > 50 and {r["drawn"] for r in rows} == {None}
+    assert all(r["score"] == mask_iou(true[r["image_id"], r["t_id"]], read[r["image_id"], r["p_id"]]) for r in rows)
+
+
+def test_uncontested_pairs_are_the_best_assignment():
+    rng = np.random.default_rng(2)
+    sizes = [rng.integers(1, 6, 2) for _ in range(200)]
+    scores = [np.round(rng.random(tuple(s)) ** 3, k % 4 + 1) for k, s in enumerate(sizes)]
+    image = np.concatenate([np.full(m.size, k) for k, m in enumerate(scores)])
+    rows, columns = (np.concatenate([np.indices(m.shape)[a].ravel() for m in scores]) for a in (0, 1))
+    got = evaluate.best_pairs(image, rows, columns, np.concatenate([m.ravel() for m in scores]))
+    for k, m in enumerate(scores):
+        r, c = rows[(image == k) & got], columns[(image == k) & got]
+        assert len(set(r)) == len(r) == len(set(c))
+        assert m[r, c].sum() == pytest.approx(sum(m[p] for p in evaluate.assignment(m)))
