@@ -395,3 +395,26 @@ def test_uncontested_pairs_are_the_best_assignment():
         r, c = rows[(image == k) & got], columns[(image == k) & got]
         assert len(set(r)) == len(r) == len(set(c))
         assert m[r, c].sum() == pytest.approx(sum(m[p] for p in evaluate.assignment(m)))
+
+
+def test_crossings_near_meeting_places_are_those_of_all_points():
+    from sketchgraph.functions import crossing
+
+    rng = np.random.default_rng(4)
+    turn = np.arange(48) * 2 * np.pi / 48
+    rows, want = [], []
+    for k in range(600):
+        a, b = rng.integers(0, 60, (2, 2)) * 5.0
+        if k % 5 == 0:
+            b[k // 5 % 2] = a[k // 5 % 2]  # upright or level, often along a side
+        x, y, w, h = (rng.integers(0, 30, 4) * 5.0) + (0, 0, 5, 5)
+        poly = [np.array([(x + w / 2, y), (x + w, y + h), (x, y + h)]), np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)]), np.stack([x + w / 2 + w / 2 * np.cos(turn), y + h / 2 + h / 2 * np.sin(turn)], 1), np.zeros((0, 2))][k % 4]
+        ends = np.array([a, b])
+        rows.append(np.concatenate([[1, 2, 2, x, y, w, h, 12, 2], a, b, ends.ravel(), poly.ravel()]))
+        long = np.sqrt(((b - a) ** 2).sum())
+        n = max(2, int(long / 2) + 1)
+        points = a + np.minimum(1, np.arange(n)[:, None] * long / (n - 1) / long) * (b - a) if long else a[None]
+        rows.append(np.concatenate([[0, len(points), 2, x, y, w, h, 12, 2], points.ravel(), ends.ravel(), poly.ravel()]))
+    stops = np.cumsum([len(r) for r in rows])
+    got = crossing.crossed(np.concatenate(rows), np.r_[0, stops[:-1]], stops).reshape(-1, 2)
+    assert (got[:, 0] == got[:, 1]).all() and 100 < got[:, 0].sum() < 500
