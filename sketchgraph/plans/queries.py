@@ -135,7 +135,7 @@ def connector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prune_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.pruned(topology.with_attachment(order_scenes(spark, sf_dir))).connections.select("image_id", "id")
+    return topology.pruned_ids(order_scenes(spark, sf_dir))
 
 
 @query

@@ -418,3 +418,17 @@ def test_crossings_near_meeting_places_are_those_of_all_points():
     stops = np.cumsum([len(r) for r in rows])
     got = crossing.crossed(np.concatenate(rows), np.r_[0, stops[:-1]], stops).reshape(-1, 2)
     assert (got[:, 0] == got[:, 1]).all() and 100 < got[:, 0].sum() < 500
+
+
+def test_pruning_looks_for_crossings_only_where_they_decide(spark, scene):
+    point = lambda x, y: ((float(x), float(y)), None, None, "free", False)
+    lines = [(1, f"C{k}", k, kind, [a, b], [point(*a), point(*b)], heavy, ["cv"], long, False) for k, (a, b, kind, heavy, long) in enumerate((
+        ((700.0, 20.0), (800.0, 20.0), "line", False, 100.0), ((700.0, 20.0), (800.0, 20.0), "arrow", False, 100.0), ((700.0, 20.0), (800.0, 20.0), "line", True, 100.0), ((500.0, 20.0), (800.0, 20.0), "line", False, 300.0),
+        ((480.0, 200.0), (600.0, 200.0), "line", False, 120.0), ((450.0, 110.0), (550.0, 60.0), "line", False, 110.0), ((520.0, 60.0), (540.0, 330.0), "line", False, 190.0), ((450.0, 700.0), (480.0, 690.0), "line", None, 30.0),
+    ))]
+    s = scene.with_(connections=spark.createDataFrame(lines, scene.connections.schema))
+    want = {r["id"] for r in topology.pruned(topology.with_attachment(s)).connections.collect()}
+    assert {r["id"] for r in topology.pruned_ids(s).collect()} == want and {"C1", "C2", "C3"} <= want < {r[1] for r in lines}
+    import __spark_entry__ as entry
+
+    assert _reads(entry.queries()["prune_connections"](spark, SF), "lineitem") == 0  # all from its tables
