@@ -432,3 +432,11 @@ def test_pruning_looks_for_crossings_only_where_they_decide(spark, scene):
     import __spark_entry__ as entry
 
     assert _reads(entry.queries()["prune_connections"](spark, SF), "lineitem") == 0  # all from its tables
+
+
+def test_an_evaluation_finds_only_what_it_compares(scene):
+    full, lean = topology.updated(scene), topology.scorable(topology.kept(scene))
+    assert lean.relations is None
+    rows = lambda df, *c: sorted(map(str, df.select("image_id", "id", *c).collect()))
+    assert rows(lean.shapes, "parent_id") == rows(full.shapes, "parent_id") and rows(lean.texts, "inside_shape_id") == rows(full.texts, "inside_shape_id")
+    assert rows(lean.connections, "endpoints") == rows(full.connections, "endpoints")
